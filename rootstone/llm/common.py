@@ -174,3 +174,10 @@ def linked(n: int, alike) -> Sets:
             if len(found):
                 sets.join(i, found)
     return sets
+
+
+def ascii_lower(text):
+    """A-Z lower-cased, nothing else changed; lower() alone would also change other letters."""
+    from pyspark.sql import functions as F
+
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -5,14 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
-from .common import table
+from . import lines, minhash, mixing, packing
+from .common import LOWER, UPPER, table
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {"op1_minhash": op1_minhash}
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_repeated(table(spark, sf_dir, "documents"), min_docs=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
-ORACLE: dict[str, str] = {}
+
+OP3_SQL = f"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), numbered AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k
+  FROM numbered
+), often AS (
+  SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10
+), marked AS (
+  SELECT keyed.*, often.k IS NOT NULL AS gone FROM keyed LEFT JOIN often ON keyed.k = often.k
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r
+"""
+
+def vocabulary() -> dict[str, str]:
+    """The installed public vocabulary; the operator takes any."""
+    import public_tokenizers
+
+    return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), **vocabulary())
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = mixing.mix(table(spark, sf_dir, "documents"))
+    rows = units.select("*", F.explode(F.array_repeat(F.lit(1), F.col("m").cast("int"))).alias("row"))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op3_lines": op3_lines, "op7_packing": op7_packing, "op8_mixing": op8_mixing}
+
+ORACLE: dict[str, str] = {"op3_lines": OP3_SQL}
