@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, mixing, packing
+from . import licenses, lines, minhash, mixing, packing
 from .common import LOWER, UPPER, table
 
 
@@ -36,6 +36,21 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone)
 FROM marked GROUP BY r
 """
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 def vocabulary() -> dict[str, str]:
     """The installed public vocabulary; the operator takes any."""
     import public_tokenizers
@@ -53,6 +68,6 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_lines": op3_lines, "op7_packing": op7_packing, "op8_mixing": op8_mixing}
+QUERIES = {"op1_minhash": op1_minhash, "op3_lines": op3_lines, "op4_licenses": op4_licenses, "op7_packing": op7_packing, "op8_mixing": op8_mixing}
 
 ORACLE: dict[str, str] = {"op3_lines": OP3_SQL}
