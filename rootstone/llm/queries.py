@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, minhash, mixing, packing
+from . import licenses, lines, minhash, mixing, packing, topk
 from .common import LOWER, UPPER, table
 
 
@@ -68,6 +68,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_lines": op3_lines, "op4_licenses": op4_licenses, "op7_packing": op7_packing, "op8_mixing": op8_mixing}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
-ORACLE: dict[str, str] = {"op3_lines": OP3_SQL}
+
+OP9_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored
+QUALIFY rank <= 20
+"""
+
+QUERIES = {"op1_minhash": op1_minhash, "op3_lines": op3_lines, "op4_licenses": op4_licenses, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_topk": op9_topk}
+
+ORACLE: dict[str, str] = {"op3_lines": OP3_SQL, "op9_topk": OP9_SQL}
