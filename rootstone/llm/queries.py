@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, minhash, mixing, packing, topk
+from . import chat, licenses, lines, minhash, mixing, packing, topk
 from .common import LOWER, UPPER, table
 
 
@@ -87,6 +87,36 @@ FROM scored
 QUALIFY rank <= 20
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_lines": op3_lines, "op4_licenses": op4_licenses, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_topk": op9_topk}
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations")).withColumn("sha256", F.sha2("rendered", 256))
+
+
+OP10_SQL = """
+WITH placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place
+  FROM conversations
+), turns AS (
+  SELECT conv_id, place,
+         sha256(coalesce('r' || role, '') || chr(1) || coalesce('t' || text, '')) AS h,
+         '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' AS line
+  FROM placed
+), prefixes AS (
+  SELECT conv_id, place, string_agg(h, '') OVER w AS prefix, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns
+  WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), hashed AS (
+  SELECT conv_id, place, sha256(prefix) AS p, n FROM prefixes
+), wholes AS (
+  SELECT p, place AS n_turns, min(conv_id) AS conv_id, count(*) AS n_equal FROM hashed WHERE place = n GROUP BY ALL
+), stay AS (
+  SELECT * FROM wholes WHERE (p, n_turns) NOT IN (SELECT p, place FROM hashed WHERE place < n)
+), rendered AS (
+  SELECT conv_id, string_agg(line, chr(10) ORDER BY place) AS rendered FROM turns GROUP BY conv_id
+)
+SELECT s.conv_id, s.n_turns, s.n_equal, r.rendered, sha256(r.rendered) AS sha256
+FROM stay s JOIN rendered r ON s.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+QUERIES = {"op1_minhash": op1_minhash, "op3_lines": op3_lines, "op4_licenses": op4_licenses, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_topk": op9_topk, "op10_chat": op10_chat}
 
-ORACLE: dict[str, str] = {"op3_lines": OP3_SQL, "op9_topk": OP9_SQL}
+ORACLE: dict[str, str] = {"op3_lines": OP3_SQL, "op9_topk": OP9_SQL, "op10_chat": OP10_SQL}
