@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, lines, minhash, mixing, packing, topk
+from . import chat, embeddings, licenses, lines, minhash, mixing, packing, topk
 from .common import LOWER, UPPER, table
 
 
@@ -13,6 +13,34 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+OP2_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+), usable AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors
+  WHERE vec_id IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) >= 0.95 * a.norm * b.norm
+), reach AS (
+  SELECT vec_id AS id, vec_id AS other FROM vectors
+  UNION
+  SELECT r.id, l.v FROM reach r JOIN links l ON r.other = l.u
+), named AS (
+  SELECT id, min(other) AS component_id FROM reach GROUP BY id
+), counted AS (
+  SELECT u, count(*) AS n FROM links GROUP BY u
+)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, n.component_id, coalesce(v.vec_id = n.component_id, true) AS kept
+FROM vectors v LEFT JOIN named n ON n.id = v.vec_id LEFT JOIN counted c ON c.u = v.vec_id
+"""
+
+
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_repeated(table(spark, sf_dir, "documents"), min_docs=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -117,6 +145,6 @@ SELECT s.conv_id, s.n_turns, s.n_equal, r.rendered, sha256(r.rendered) AS sha256
 FROM stay s JOIN rendered r ON s.conv_id IS NOT DISTINCT FROM r.conv_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_lines": op3_lines, "op4_licenses": op4_licenses, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_topk": op9_topk, "op10_chat": op10_chat}
+QUERIES = {"op1_minhash": op1_minhash, "op2_embeddings": op2_embeddings, "op3_lines": op3_lines, "op4_licenses": op4_licenses, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_topk": op9_topk, "op10_chat": op10_chat}
 
-ORACLE: dict[str, str] = {"op3_lines": OP3_SQL, "op9_topk": OP9_SQL, "op10_chat": OP10_SQL}
+ORACLE: dict[str, str] = {"op2_embeddings": OP2_SQL, "op3_lines": OP3_SQL, "op9_topk": OP9_SQL, "op10_chat": OP10_SQL}
