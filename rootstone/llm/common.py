@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="rootstone-")
         shared_dir.own = found
     return found.rstrip("/")
