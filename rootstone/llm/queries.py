@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, langid, licenses, lines, minhash, mixing, packing, topk
+from . import chat, embeddings, langid, licenses, lines, minhash, mixing, packing, topk, toxicity
 from .common import LOWER, UPPER, table
 
 
@@ -85,6 +85,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def vocabulary() -> dict[str, str]:
     """The installed public vocabulary; the operator takes any."""
     import public_tokenizers
@@ -151,6 +156,6 @@ SELECT s.conv_id, s.n_turns, s.n_equal, r.rendered, sha256(r.rendered) AS sha256
 FROM stay s JOIN rendered r ON s.conv_id IS NOT DISTINCT FROM r.conv_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_embeddings": op2_embeddings, "op3_lines": op3_lines, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_topk": op9_topk, "op10_chat": op10_chat}
+QUERIES = {"op1_minhash": op1_minhash, "op2_embeddings": op2_embeddings, "op3_lines": op3_lines, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_topk": op9_topk, "op10_chat": op10_chat}
 
 ORACLE: dict[str, str] = {"op2_embeddings": OP2_SQL, "op3_lines": OP3_SQL, "op9_topk": OP9_SQL, "op10_chat": OP10_SQL}
