@@ -85,8 +85,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return bitmaps(repeated(staged(keyed_lines(docs, id_col, text_col), "line-keys"), min_docs, first))
 
 
-def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, first: bool = False) -> DataFrame:
-    """docs with the repeated lines gone from text_col, and n_lines, n_dropped (replacing columns of these names)."""
+def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, first: bool = False, counts: bool = True) -> DataFrame:
+    """docs with the repeated lines gone from text_col; with counts also n_lines, n_dropped (replacing columns of these names)."""
     marks = line_bitmaps(docs, id_col, text_col, min_docs, first).select(
         F.col("id").alias("_mark_id"), F.col("t").alias("_mark_t"), F.col("n_dropped").alias("_mark_n"), F.col("bitmap").alias("_mark_bits")
     )
@@ -98,5 +98,6 @@ def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.getbit(bits, i % WORD_BITS) == 0
 
     kept = F.when(F.col("_mark_bits").isNull(), docs[text_col]).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    columns = [kept.alias(text_col) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce("_mark_n", F.lit(0)).cast("long").alias("n_dropped"))
+    added = [F.size(lines).cast("long").alias("n_lines"), F.coalesce("_mark_n", F.lit(0)).cast("long").alias("n_dropped")] if counts else []
+    columns = [kept.alias(c) if c == text_col else docs[c] for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    return joined.select(*columns, *added)
