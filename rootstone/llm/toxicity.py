@@ -148,7 +148,8 @@ class Model:
 def count(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(gram, n0, n1) of the words of labelled documents; docs: id, text; labels: id, toxic."""
     known = labels.where(F.col("toxic").isNotNull() & fold(F.col("id")).isin(0, 1))
-    texts = docs.where(fold(F.col("id")).isin(0, 1) & F.col("text").isNotNull()).join(known, "id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    # a sort-merge join however few labels there are: the plan of a small input is the plan of a large one
+    texts = docs.where(fold(F.col("id")).isin(0, 1) & F.col("text").isNotNull()).join(known.hint("merge"), "id").select("text", F.col("toxic").cast("int").alias("toxic"))
     counted = texts.mapInArrow(_vocabulary, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     return staged(counted.mapInArrow(_n_grams, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-grams")
 
