@@ -517,6 +517,14 @@ class Store:
 
     # pruning
 
+    def superseded(self, before: int, table: Table = PLAIN) -> DataFrame:
+        """The changes that prune(before) would remove: rows with a later change up to `before`, and deletions up to it."""
+        _, changes = self.log.layout(self.version)
+        folders = changes.get(str(table.id))
+        rows = self._read(table, folders) if folders else self.spark.createDataFrame([], self._stored(table))
+        later = F.lead("_version").over(Window.partitionBy("_path").orderBy("_version"))
+        return rows.withColumn("_later", later).where((F.col("_later") <= before) | (F.col("_deleted") & (F.col("_version") <= before))).drop("_later")
+
     def prune(self, before: int) -> dict[str, int]:
         """Removes what only versions before `before` need. Returns numbers of superseded rows and of roots that went."""
         with self.lock:
