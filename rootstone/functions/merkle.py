@@ -165,30 +165,47 @@ def prove(path: bytes, top: Top, leaves_of) -> Proof:
     return Proof(leaf, (siblings + below)[::-1])
 
 
-def fold_buckets(depth: int, extra: list[tuple[bytes, bytes]]):
-    """For mapInArrow over (b, _path, _vh) sorted by b: bucket, capped count and hash. extra: further leaves."""
+OLD, PUT, GONE = 0, 1, 2
+
+
+def fold_buckets(depth: int, before: list[tuple[bytes, bytes]], after: list[tuple[bytes, bytes]]):
+    """For mapInArrow over (b, _path, _vh, kind) sorted by b: per bucket the capped count and hash of its old leaves, and of
+    those after the changes (kinds PUT and GONE). before, after: further leaves of either."""
+    more = [{}, {}]
+    for side, leaves in zip(more, (before, after), strict=True):
+        for leaf in leaves:
+            side.setdefault(bucket_at(leaf[0], depth), []).append(leaf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        out: list[tuple[int, int, bytes]] = []
+        out: list[tuple] = []
+        now, old, changes = None, [], {}
 
-        def close(bucket: int) -> None:
-            more = [x for x in extra if bucket_at(x[0], depth) == bucket]
-            out.append((bucket, *Leaves(held.pop(bucket) + more).fold(depth)))
+        def close() -> None:
+            kept = [x for x in old if x[0] not in changes] if changes else old
+            new = kept + [(p, v) for p, v in changes.items() if v is not None]
+            was = Leaves(old + more[0].get(now, [])).fold(depth)
+            out.append((now, *was, *(Leaves(new + more[1].get(now, [])).fold(depth))))
 
         for batch in batches:
-            for b, path, vh in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if b not in held:
-                    for done in list(held):
-                        close(done)
-                    held[b] = []
-                held[b].append((path, vh))
-        for done in list(held):
-            close(done)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], ["bucket", "count", "hash"])
+            for b, path, vh, kind in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if b != now:
+                    if now is not None:
+                        close()
+                    now, old, changes = b, [], {}
+                if kind == OLD:
+                    old.append((path, vh))
+                else:
+                    changes[path] = vh if kind == PUT else None
+        if now is not None:
+            close()
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], FOLDED)
 
     return run
 
 
+FOLDED = ["bucket", "old_count", "old_hash", "count", "hash"]
+
+
 def bucket_at(path: bytes, depth: int) -> int:
     return int.from_bytes(path[:4], "big") >> (32 - depth) if depth else 0

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from rootstone.errors import ConflictError, CorruptedError, InvalidError, MissingError
 from rootstone.functions.commitments import HIDDEN, HISTORY_KEY, RESERVED, VALUE_AAD, Hasher, chain_link, committed, recommitted_plain
-from rootstone.functions.merkle import EMPTY, Folded, Leaves, Proof, Top, bucket_at, fold_buckets, prove, verify
+from rootstone.functions.merkle import EMPTY, GONE, OLD, PUT, Folded, Leaves, Proof, Top, bucket_at, fold_buckets, prove, verify
 from rootstone.sources.files import Folder
 from rootstone.sources.manifests import Log, Manifest
 
@@ -80,7 +80,10 @@ class Store:
     def __init__(self, spark: SparkSession, path: str, key: bytes, storage_key: bytes | None = None) -> None:
         if len(key) != 32 or (storage_key is not None and len(storage_key) != 32):
             raise InvalidError("keys have 32 bytes")
-        self.spark, self.path, self.key, self.storage_key = spark, path.rstrip("/"), key, storage_key
+        self.path, self.key, self.storage_key = path.rstrip("/"), key, storage_key
+        #: Points and commits read some buckets and check what they find against the tree, so they may trust file statistics to
+        #: skip row groups. Snapshots are checked as a whole before filters come in, so their scans must not trust them.
+        self.pruning, self.spark = spark, self._untrusting(spark)
         self.hasher, self.folder = Hasher(key), Folder(spark, path)
         self.log = Log(self.folder, key)
         self.lock = threading.RLock()
@@ -89,6 +92,14 @@ class Store:
         self._verified: set[int] = set()
         self.manifest: Manifest = None  # type: ignore[assignment]
 
+    @staticmethod
+    def _untrusting(spark: SparkSession) -> SparkSession:
+        own = spark.newSession()
+        for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+            own.conf.set(name, spark.conf.get(name))
+        own.conf.set("spark.sql.parquet.filterPushdown", "false")
+        return own
+
     # opening
 
     @classmethod
@@ -197,27 +208,27 @@ class Store:
         """Columns of a table's files; with a storage key, the values of table 0 are sealed."""
         return T.StructType([*table.schema.fields, *HIDDEN, T.StructField("_version", T.LongType()), T.StructField("_deleted", T.BooleanType())])
 
-    def _read(self, table: Table, folders: list[str]) -> DataFrame:
-        return self.spark.read.schema(self._stored(table)).parquet(*[f"{self.path}/{f}" for f in folders])
+    def _read(self, table: Table, folders: list[str], spark: SparkSession | None = None) -> DataFrame:
+        return (spark or self.spark).read.schema(self._stored(table)).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def changes_of(self, table: Table, version: int) -> DataFrame | None:
         folders = self._at(version).files.get(str(table.id))
         return self._read(table, folders) if folders else None
 
-    def rows(self, table: Table = PLAIN, version: int | None = None, files: tuple[dict, dict] | None = None) -> DataFrame:
+    def rows(self, table: Table = PLAIN, version: int | None = None, files: tuple[dict, dict] | None = None, spark: SparkSession | None = None) -> DataFrame:
         """The live rows of a version with the hidden columns. The folders are fixed when this is called."""
         base, changes = files or self.log.layout(self._at(version).version)
         old, new = base.get(str(table.id)), changes.get(str(table.id))
         if not new:
-            return self._read(table, old) if old else self.spark.createDataFrame([], self._stored(table))
-        last = self._read(table, new)
+            return self._read(table, old, spark) if old else (spark or self.spark).createDataFrame([], self._stored(table))
+        last = self._read(table, new, spark)
         if len(new) > 1:
             newest = F.row_number().over(Window.partitionBy("_path").orderBy(F.desc("_version")))
             last = last.withColumn("_n", newest).where("_n = 1").drop("_n")
         live = last.where("not _deleted")
         if not old:
             return live
-        kept = self._read(table, old).join(self._read(table, new).select("_path").distinct(), "_path", "left_anti")
+        kept = self._read(table, old, spark).join(self._read(table, new, spark).select("_path").distinct(), "_path", "left_anti")
         return kept.select(*self._stored(table).names).unionByName(live)
 
     def _sealing(self) -> tuple[Column, Column]:
@@ -228,13 +239,13 @@ class Store:
     def opened(self, rows: DataFrame, table: Table) -> DataFrame:
         return rows.withColumn("value", self._sealing()[1]) if table.id == 0 and self.storage_key else rows
 
-    def leaves(self, version: int | None = None, manifest: Manifest | None = None, files: tuple[dict, dict] | None = None) -> DataFrame:
+    def leaves(self, version: int | None = None, manifest: Manifest | None = None, files: tuple[dict, dict] | None = None, spark: SparkSession | None = None) -> DataFrame:
         """(_bucket, _path, _vh) of the rows of all tables."""
         manifest = manifest or self._at(version)
         files = files or self.log.layout(manifest.version)
         every = [PLAIN, *(Table.decode(d) for d in manifest.tables.values())]
         there = [t for t in every if files[0].get(str(t.id)) or files[1].get(str(t.id))] or [PLAIN]
-        return reduce(DataFrame.unionByName, [self.rows(t, files=files).select("_bucket", "_path", "_vh") for t in there])
+        return reduce(DataFrame.unionByName, [self.rows(t, files=files, spark=spark).select("_bucket", "_path", "_vh") for t in there])
 
     def system_leaves(self, manifest: Manifest) -> list[tuple[bytes, bytes]]:
         out = []
@@ -243,18 +254,28 @@ class Store:
             out.append((path, self.hasher.value(path, bytes.fromhex(value))))
         return out
 
-    def _fold(self, leaves: DataFrame, manifest: Manifest, wanted: set[int] | None) -> dict[int, Folded]:
-        """Folded buckets; those without rows may lack."""
-        shift = 16 - manifest.depth
-        extra = [x for x in self.system_leaves(manifest) if wanted is None or bucket_at(x[0], manifest.depth) in wanted]
-        own = F.shiftright("_bucket", shift)
-        if wanted is not None and len(wanted) < 1 << manifest.depth:
-            leaves = leaves.where(reduce(lambda a, b: a | b, [F.col("_bucket").between(b << shift, (b << shift) + (1 << shift) - 1) for b in sorted(wanted)]) if len(wanted) <= 64 else own.isin(*wanted))
-        dealt = leaves.select(own.alias("b"), "_path", "_vh").repartition("b").sortWithinPartitions("b")
-        rows = dealt.mapInArrow(fold_buckets(manifest.depth, extra), "bucket int, count int, hash binary").collect()  # 2^depth at most
-        found = {r.bucket: Folded(r["count"], bytes(r.hash)) for r in rows}
-        for bucket in {bucket_at(p, manifest.depth) for p, _ in extra} - found.keys():
-            found[bucket] = Leaves([x for x in extra if bucket_at(x[0], manifest.depth) == bucket]).fold(manifest.depth)
+    def _within(self, leaves: DataFrame, depth: int, wanted: set[int]) -> DataFrame:
+        """Leaves of some buckets. Files are sorted by path, so a range of a few buckets skips row groups."""
+        shift = 16 - depth
+        if len(wanted) == 1 << depth:
+            return leaves
+        if len(wanted) > 64:
+            return leaves.where(F.shiftright("_bucket", shift).isin(*wanted))
+        ranges = [F.col("_bucket").between(b << shift, (b + 1 << shift) - 1) for b in sorted(wanted)]
+        return leaves.where(reduce(lambda a, b: a | b, ranges))
+
+    def _fold(self, old: DataFrame, changes: DataFrame | None, before: Manifest, after: Manifest) -> dict[int, tuple[Folded, Folded]]:
+        """Per bucket that has leaves: folded as it was and as it becomes. 2^depth rows come to the driver at most."""
+        own = F.shiftright("_bucket", 16 - before.depth).alias("b")
+        rows = old.select(own, "_path", "_vh", F.lit(OLD).alias("kind"))
+        if changes is not None:
+            rows = rows.unionByName(changes.select(own, "_path", "_vh", F.when(F.col("_deleted"), GONE).otherwise(PUT).alias("kind")))
+        sides = [self.system_leaves(before), self.system_leaves(after)]
+        dealt = rows.repartition("b").sortWithinPartitions("b")
+        folded = dealt.mapInArrow(fold_buckets(before.depth, *sides), "bucket int, old_count int, old_hash binary, count int, hash binary").collect()
+        found = {r.bucket: (Folded(r.old_count, bytes(r.old_hash)), Folded(r["count"], bytes(r.hash))) for r in folded}
+        for bucket in {bucket_at(p, before.depth) for side in sides for p, _ in side} - found.keys():
+            found[bucket] = tuple(Leaves([x for x in side if bucket_at(x[0], before.depth) == bucket]).fold(before.depth) for side in sides)
         return found
 
     # commits
@@ -340,7 +361,7 @@ class Store:
                 next_table=next_table or old.next_table, batches=(old.batches + [batch])[-BATCHES_KEPT:] if batch else old.batches,
             )
             after = (files[0], {t: files[1].get(t, []) + written.get(t, []) for t in files[1].keys() | written.keys()})
-            top = self._folded_top(self.leaves(manifest=new, files=after), new, self.top(), touched)
+            top = self._new_top(new, files, written, known, touched)
             new.root = top.root.hex()
             if preview:
                 for folders in written.values():
@@ -360,11 +381,19 @@ class Store:
                 self.write_base()
             return top.root, version
 
-    def _folded_top(self, leaves: DataFrame, manifest: Manifest, before: Top, touched: set[int]) -> Top:
-        folded = self._fold(leaves, manifest, touched)
-        buckets = list(before.levels[-1])
+    def _new_top(self, new: Manifest, files: tuple[dict, dict], written: dict[str, list[str]], known: dict[int, Table], touched: set[int]) -> Top:
+        """The tree after a commit. Touched buckets are folded as they were, too: a commit onto rows that do not give the old
+        root fails."""
+        old, depth = self.manifest, self.manifest.depth
+        leaves = self._within(self.leaves(manifest=old, files=files, spark=self.pruning), depth, touched)
+        parts = [self._read(known[int(t)], f).select("_bucket", "_path", "_vh", "_deleted") for t, f in written.items()]
+        folded = self._fold(leaves, reduce(DataFrame.unionByName, parts) if parts else None, old, new)
+        buckets = list(self.top().levels[-1])
         for b in touched:
-            buckets[b] = folded.get(b, EMPTY)
+            was, now = folded.get(b, (EMPTY, EMPTY))
+            if was != buckets[b]:
+                raise CorruptedError(f"the rows of version {old.version} do not give its root (bucket {b})")
+            buckets[b] = now
         return Top(buckets)
 
     def write_base(self, version: int | None = None) -> None:
@@ -402,12 +431,11 @@ class Store:
         tree: content and completeness in one pass. Fails closed."""
         manifest = self._at(version)
         try:
-            found = self._fold(self.recomputed(version), manifest, None)
+            found = self._fold(self.recomputed(version), None, manifest, manifest)
         except Exception as e:
             raise CorruptedError(f"version {manifest.version} cannot be verified: {str(e)[:300]}") from e
-        expected = self.top(manifest.version).levels[-1]
-        for bucket, folded in enumerate(expected):
-            if found.get(bucket, EMPTY) != folded:
+        for bucket, folded in enumerate(self.top(manifest.version).levels[-1]):
+            if found.get(bucket, (EMPTY, EMPTY))[0] != folded:
                 raise CorruptedError(f"the rows of version {manifest.version} do not give its root (bucket {bucket})")
         self._verified.add(manifest.version)
 
@@ -427,12 +455,11 @@ class Store:
     # points and proofs
 
     def _leaves_of(self, manifest: Manifest):
-        shift = 16 - manifest.depth
-        every = self.leaves(manifest=manifest)
+        every = self.leaves(manifest=manifest, spark=self.pruning)
         system = self.system_leaves(manifest)
 
         def of(bucket: int) -> Leaves:
-            rows = every.where(F.col("_bucket").between(bucket << shift, ((bucket + 1) << shift) - 1)).select("_path", "_vh").collect()  # of one bucket
+            rows = self._within(every, manifest.depth, {bucket}).select("_path", "_vh").collect()  # of one bucket
             return Leaves([(bytes(r[0]), bytes(r[1])) for r in rows] + [x for x in system if bucket_at(x[0], manifest.depth) == bucket])
 
         return of
@@ -506,7 +533,7 @@ class Store:
             return bytes.fromhex(manifest.system[key.hex()])
         if vh is None:
             return None
-        near = self.rows(PLAIN, manifest.version).where((F.col("_bucket") == int.from_bytes(path[:2], "big")) & (F.col("_path") == F.lit(path)))
+        near = self.rows(PLAIN, manifest.version, spark=self.pruning).where((F.col("_bucket") == int.from_bytes(path[:2], "big")) & (F.col("_path") == F.lit(path)))
         try:
             found = [r[0] for r in self.opened(near, PLAIN).select("value").collect()]
         except Exception as e:

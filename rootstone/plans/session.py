@@ -44,10 +44,7 @@ class Database:
 
     def __init__(self, store: Store, name: str = "app") -> None:
         self.store, self.name, self.lock = store, name, threading.RLock()
-        shuffle = store.spark.conf.get("spark.sql.shuffle.partitions")
-        store.spark = store.spark.newSession()  # for its views and settings
-        store.spark.conf.set("spark.sql.shuffle.partitions", shuffle)
-        store.spark.conf.set("spark.sql.ansi.enabled", "false")  # 1/0 is null
+        store.spark.conf.set("spark.sql.ansi.enabled", "false")  # the store's own session; 1/0 is null
         store.spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.next_auto: dict[int, int] = {}
 
@@ -103,7 +100,7 @@ class Database:
         vh = verify(root, path, proof)
         if vh is None:
             return VerifiedRow(None, path, None, proof, root, version)
-        near = self.store.rows(table).where((F.col("_bucket") == int.from_bytes(path[:2], "big")) & (F.col("_path") == F.lit(path))).select(*table.schema.names)
+        near = self.store.rows(table, spark=self.store.pruning).where((F.col("_bucket") == int.from_bytes(path[:2], "big")) & (F.col("_path") == F.lit(path))).select(*table.schema.names)
         again = committed(near, table.schema, table.primary, table.id, self.store.key).collect()
         if len(again) != 1 or bytes(again[0]._path) != path or bytes(again[0]._vh) != vh:
             from rootstone.errors import CorruptedError
