@@ -119,6 +119,7 @@ def _links(index: Index, cosine: float, reach: float):
         for (of_list, inner, b1, b2), rows in groups(batches, 4):
             ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
             raw = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float64).reshape(len(ids), -1)
+            raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])  # exact, and no square overflows
             norms = np.sqrt((raw * raw).sum(axis=1))
             x = index.value.unit(raw)
             block, resident = rows.column("block").to_numpy(), rows.column("resident").to_numpy(zero_copy_only=False)
