@@ -19,14 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import Sets, groups, staged
 from .components import components
 
-#: The index is fitted on at most FIT_ROWS vectors; every vector is indexed. Lists grow with the root of the number of vectors.
-FIT_ROWS, MOST_LISTS, CODES, SUB = 20_000, 4096, 256, 8
+#: The index is fitted on at most about FIT_ROWS vectors; every vector is indexed. There is a list for LIST_ROWS vectors: as no link may
+#: be lost, vectors without clusters visit a large part of all lists whatever their number, so many small lists only cost more copies.
+FIT_ROWS, LIST_ROWS, MOST_LISTS, CODES, SUB = 20_000, 2048, 4096, 256, 8
 #: Vectors of a block of a list; a task compares two blocks.
-BLOCK = 2048
+BLOCK = 4096
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +55,7 @@ class Index:
     def __init__(self, sample: np.ndarray, n: int) -> None:
         self.dim = sample.shape[1]
         x = self.unit(sample)
-        self.centres = k_means(x, max(1, min(MOST_LISTS, math.isqrt(n))))
+        self.centres = k_means(x, max(1, min(MOST_LISTS, n // LIST_ROWS)))
         own = np.concatenate([_nearest(x[at : at + 4096], self.centres)[0] for at in range(0, len(x), 4096)])
         rest = x - self.centres[own]
         self.books = [k_means(rest[:, at : at + SUB], CODES, 5, at + 2) for at in range(0, x.shape[1], SUB)]
@@ -87,15 +89,20 @@ class Index:
         return total
 
 
-def _rows(index: Index, reach: float):
+def _vectors(column, kind: str) -> np.ndarray:
+    """Rows of doubles from packed vectors, of the source's precision."""
+    packed = column.to_pylist()
+    return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64)
+
+
+def _rows(index: Index, reach: float, kind: str):
     """One row per vector and list that it lives in (resident) or visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 some = batch.slice(at, 1024)
-                raw = np.frombuffer(b"".join(some.column("x").to_pylist()), np.float64).reshape(len(some), -1)
-                x = index.value.unit(raw)
+                x = index.value.unit(_vectors(some.column("x"), kind))
                 own, rows, lists = index.value.probes(x, reach)
                 codes, errors = index.value.code(x, own)
                 take = np.concatenate([np.arange(len(some)), rows])
@@ -112,13 +119,13 @@ def _rows(index: Index, reach: float):
     return run
 
 
-def _links(index: Index, cosine: float, reach: float):
+def _links(index: Index, cosine: float, reach: float, kind: str):
     """Within a group of (list, kind, b1, b2): weights of links per vector (u, null, w) and spanning edges (u, v, null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (of_list, inner, b1, b2), rows in groups(batches, 4):
             ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
-            raw = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float64).reshape(len(ids), -1)
+            raw = _vectors(rows.column("x"), kind)
             raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])  # exact, and no square overflows
             norms = np.sqrt((raw * raw).sum(axis=1))
             x = index.value.unit(raw)
@@ -174,12 +181,12 @@ def _dealt(placed: DataFrame, block: int) -> DataFrame:
     return spread.select(*columns).repartition("list", "inner", "b1", "b2").sortWithinPartitions("list", "inner", "b1", "b2")
 
 
-def _packed(vectors: DataFrame, dim: int) -> DataFrame:
-    """Vectors as bytes of doubles."""
+def _packed(vectors: DataFrame, dim: int, kind: str) -> DataFrame:
+    """Vectors as bytes of the source's floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), dim)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(batch), dim)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in flat], pa.binary())], ["id", "n", "x"])
 
     return vectors.select("id", "n", "x").mapInArrow(run, "id long, n long, x binary")
@@ -188,6 +195,7 @@ def _packed(vectors: DataFrame, dim: int) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, block: int = BLOCK) -> DataFrame:
     """One row per row of df: id, n_links, component_id, kept."""
     spark, reach = df.sparkSession, math.sqrt(2 - 2 * cosine) + 1e-9
+    kind = "<f4" if isinstance(getattr(df.schema[vector_col].dataType, "elementType", None), FloatType) else "<f8"
     all_rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("x"))
     finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     usable = F.col("id").isNotNull() & F.col("x").isNotNull() & finite & F.exists("x", lambda c: c != 0)
@@ -200,12 +208,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     found = spark.createDataFrame([], "u long, v long, w long")
     for dim, n in sorted(tuple(r) for r in reps.groupBy("dim").count().collect()):
-        own = _packed(reps.where(F.col("dim") == dim), dim)
+        own = _packed(reps.where(F.col("dim") == dim), dim, kind)
         one_in = -(-n // FIT_ROWS)
         sample = own.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).limit(2 * FIT_ROWS).select("x").toArrow().column(0).to_pylist() or [own.first().x]
-        index = spark.sparkContext.broadcast(Index(np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), dim), n))
-        placed = staged(own.mapInArrow(_rows(index, reach), "id long, n long, x binary, list int, resident boolean, codes binary, error double"), "pq-lists")
-        found = found.unionByName(staged(_dealt(placed, block).mapInArrow(_links(index, cosine, reach), "u long, v long, w long"), "pq-links"))
+        index = spark.sparkContext.broadcast(Index(np.frombuffer(b"".join(sample), kind).reshape(len(sample), dim).astype(np.float64), n))
+        placed = staged(own.mapInArrow(_rows(index, reach, kind), "id long, n long, x binary, list int, resident boolean, codes binary, error double"), "pq-lists")
+        found = found.unionByName(staged(_dealt(placed, block).mapInArrow(_links(index, cosine, reach, kind), "u long, v long, w long"), "pq-links"))
 
     joined = components(found.where("v is not null").select("u", "v")).withColumnRenamed("id", "rep")
     counted = found.where("w is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("w").alias("w"))
