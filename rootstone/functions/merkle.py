@@ -43,6 +43,7 @@ class Leaves:
     def __init__(self, leaves: list[tuple[bytes, bytes]]) -> None:
         self.leaves = sorted(leaves)
         self.paths = [int.from_bytes(p, "big") for p, _ in self.leaves]
+        self._known: dict[tuple[int, int, int], bytes] = {}
         if any(a == b for a, b in zip(self.paths, self.paths[1:], strict=False)):
             raise InvalidError("a path occurs twice")
 
@@ -59,16 +60,28 @@ class Leaves:
         middle = self.split(low, high, depth)
         return Folded(2, inner_hash(self.fold(depth + 1, low, middle).hash, self.fold(depth + 1, middle, high).hash))
 
+    def hash(self, depth: int, low: int, high: int) -> bytes:
+        """The hash of a subtree, kept for the next proof."""
+        found = self._known.get((depth, low, high))
+        if found is None:
+            if high - low < 2:
+                found = self.fold(depth, low, high).hash
+            else:
+                middle = self.split(low, high, depth)
+                found = inner_hash(self.hash(depth + 1, low, middle), self.hash(depth + 1, middle, high))
+            self._known[depth, low, high] = found
+        return found
+
     def descend(self, path: int, depth: int) -> tuple[tuple[bytes, bytes] | None, list[bytes]]:
         """The leaf at the end of a path's way from this depth on, if any, and the siblings on it, top-down."""
         low, high, siblings = 0, len(self.paths), []
         while high - low > 1:
             middle = self.split(low, high, depth)
             if path >> (BITS - 1 - depth) & 1:
-                siblings.append(self.fold(depth + 1, low, middle).hash)
+                siblings.append(self.hash(depth + 1, low, middle))
                 low = middle
             else:
-                siblings.append(self.fold(depth + 1, middle, high).hash)
+                siblings.append(self.hash(depth + 1, middle, high))
                 high = middle
             depth += 1
         return (self.leaves[low] if high > low else None), siblings
@@ -170,7 +183,8 @@ OLD, PUT, GONE = 0, 1, 2
 
 def fold_buckets(depth: int, before: list[tuple[bytes, bytes]], after: list[tuple[bytes, bytes]]):
     """For mapInArrow over (b, _path, _vh, kind) sorted by b: per bucket the capped count and hash of its old leaves, and of
-    those after the changes (kinds PUT and GONE). before, after: further leaves of either."""
+    those after the changes (kinds PUT and GONE); also how many puts met a path that is taken, by an old leaf or another
+    change. before, after: further leaves of either."""
     more = [{}, {}]
     for side, leaves in zip(more, (before, after), strict=True):
         for leaf in leaves:
@@ -178,33 +192,35 @@ def fold_buckets(depth: int, before: list[tuple[bytes, bytes]], after: list[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, old, changes = None, [], {}
+        now, old, changes, again = None, [], {}, 0
 
         def close() -> None:
             kept = [x for x in old if x[0] not in changes] if changes else old
+            taken = again + sum(changes[p] is not None for p, _ in old if p in changes)
             new = kept + [(p, v) for p, v in changes.items() if v is not None]
             was = Leaves(old + more[0].get(now, [])).fold(depth)
-            out.append((now, *was, *(Leaves(new + more[1].get(now, [])).fold(depth))))
+            out.append((now, *was, *(Leaves(new + more[1].get(now, [])).fold(depth)), taken))
 
         for batch in batches:
             for b, path, vh, kind in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if b != now:
                     if now is not None:
                         close()
-                    now, old, changes = b, [], {}
+                    now, old, changes, again = b, [], {}, 0
                 if kind == OLD:
                     old.append((path, vh))
                 else:
+                    again += path in changes
                     changes[path] = vh if kind == PUT else None
         if now is not None:
             close()
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], FOLDED)
 
     return run
 
 
-FOLDED = ["bucket", "old_count", "old_hash", "count", "hash"]
+FOLDED = ["bucket", "old_count", "old_hash", "count", "hash", "taken"]
 
 
 def bucket_at(path: bytes, depth: int) -> int:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rootstone.errors import ConflictError, CorruptedError, InvalidError, MissingError
+from rootstone.errors import ConflictError, CorruptedError, DuplicateKeyError, InvalidError, MissingError
 from rootstone.functions.commitments import HIDDEN, HISTORY_KEY, RESERVED, VALUE_AAD, Hasher, chain_link, committed, recommitted_plain
 from rootstone.functions.merkle import EMPTY, GONE, OLD, PUT, Folded, Leaves, Proof, Top, bucket_at, fold_buckets, prove, verify
 from rootstone.sources.files import Folder
@@ -264,18 +264,19 @@ class Store:
         ranges = [F.col("_bucket").between(b << shift, (b + 1 << shift) - 1) for b in sorted(wanted)]
         return leaves.where(reduce(lambda a, b: a | b, ranges))
 
-    def _fold(self, old: DataFrame, changes: DataFrame | None, before: Manifest, after: Manifest) -> dict[int, tuple[Folded, Folded]]:
-        """Per bucket that has leaves: folded as it was and as it becomes. 2^depth rows come to the driver at most."""
+    def _fold(self, old: DataFrame, changes: DataFrame | None, before: Manifest, after: Manifest) -> dict[int, tuple[Folded, Folded, int]]:
+        """Per bucket that has leaves: folded as it was and as it becomes, and how many puts met a taken path. 2^depth rows come to the driver at most."""
         own = F.shiftright("_bucket", 16 - before.depth).alias("b")
         rows = old.select(own, "_path", "_vh", F.lit(OLD).alias("kind"))
         if changes is not None:
             rows = rows.unionByName(changes.select(own, "_path", "_vh", F.when(F.col("_deleted"), GONE).otherwise(PUT).alias("kind")))
         sides = [self.system_leaves(before), self.system_leaves(after)]
         dealt = rows.repartition("b").sortWithinPartitions("b")
-        folded = dealt.mapInArrow(fold_buckets(before.depth, *sides), "bucket int, old_count int, old_hash binary, count int, hash binary").collect()
-        found = {r.bucket: (Folded(r.old_count, bytes(r.old_hash)), Folded(r["count"], bytes(r.hash))) for r in folded}
+        folded = dealt.mapInArrow(fold_buckets(before.depth, *sides), "bucket int, old_count int, old_hash binary, count int, hash binary, taken long").collect()
+        found = {r.bucket: (Folded(r.old_count, bytes(r.old_hash)), Folded(r["count"], bytes(r.hash)), r.taken) for r in folded}
         for bucket in {bucket_at(p, before.depth) for side in sides for p, _ in side} - found.keys():
-            found[bucket] = tuple(Leaves([x for x in side if bucket_at(x[0], before.depth) == bucket]).fold(before.depth) for side in sides)
+            was, now = (Leaves([x for x in side if bucket_at(x[0], before.depth) == bucket]).fold(before.depth) for side in sides)
+            found[bucket] = (was, now, 0)
         return found
 
     # commits
@@ -285,9 +286,9 @@ class Store:
         if isinstance(ops, DataFrame):
             rows = ops.select("key", F.when(F.col("op") == "put", F.col("value")).alias("value"), (F.col("op") == "delete").alias("_deleted"), "seq")
             last = rows.groupBy("key").agg(F.max_by(F.struct("value", "_deleted"), "seq").alias("last"))
-            if last.where(F.substring("key", 1, len(RESERVED)) == F.lit(RESERVED)).limit(1).count():
-                raise InvalidError("the key is reserved")
-            return last.select("key", "last.value", "last._deleted")
+            reserved = F.substring("key", 1, len(RESERVED)) == F.lit(RESERVED)
+            key = F.when(reserved, F.raise_error(F.lit("the key is reserved")).cast("binary")).otherwise(F.col("key"))
+            return last.select(key.alias("key"), "last.value", "last._deleted")
         kept = {o.key: o.value for o in ops}
         if any(k.startswith(RESERVED) for k in kept):
             raise InvalidError("the key is reserved")
@@ -319,8 +320,10 @@ class Store:
         next_table: int | None = None,
         preview: bool = False,
         linked: bool = True,
+        inserts: bool = False,
     ) -> tuple[bytes, int]:
-        """parts: per table id, rows with _path, _vh, _bucket, _deleted, one per path. tables, system: the new catalog, if it changes."""
+        """parts: per table id, rows with _path, _vh, _bucket, _deleted, one per path. tables, system: the new catalog, if it changes.
+        inserts: all rows are new; a path that is taken, in the store or by another row, fails. The fold finds that on its way."""
         with self.lock:
             old, version = self.manifest, self.version + 1
             files = self.log.layout(self.version)
@@ -333,7 +336,7 @@ class Store:
             for table_id, changes in parts.items():
                 table = known[table_id]
                 folder = f"data/{table_id}/{version:020d}-{uuid.uuid4().hex}"
-                kept = self._effective(changes, table, files).withColumn("_version", F.lit(version).cast("long"))
+                kept = (changes if inserts else self._effective(changes, table, files)).withColumn("_version", F.lit(version).cast("long"))
                 if table_id == 0 and self.storage_key:
                     kept = kept.withColumn("value", self._sealing()[0])
                 seen = Observation()
@@ -361,19 +364,22 @@ class Store:
                 next_table=next_table or old.next_table, batches=(old.batches + [batch])[-BATCHES_KEPT:] if batch else old.batches,
             )
             after = (files[0], {t: files[1].get(t, []) + written.get(t, []) for t in files[1].keys() | written.keys()})
-            top = self._new_top(new, files, written, known, touched)
+            drop = lambda: [self.folder.delete(f) for folders in written.values() for f in folders]
+            try:
+                top, taken = self._new_top(new, files, written, known, touched)
+                if inserts and taken:
+                    raise DuplicateKeyError(f"{taken} primary keys are taken")
+            except Exception:
+                drop()
+                raise
             new.root = top.root.hex()
             if preview:
-                for folders in written.values():
-                    for f in folders:
-                        self.folder.delete(f)
+                drop()
                 return top.root, version
             try:
                 self.log.publish(new, top)
             except ConflictError:
-                for folders in written.values():
-                    for f in folders:
-                        self.folder.delete(f)
+                drop()
                 raise
             self.manifest = new
             self._tops[version] = top
@@ -381,20 +387,21 @@ class Store:
                 self.write_base()
             return top.root, version
 
-    def _new_top(self, new: Manifest, files: tuple[dict, dict], written: dict[str, list[str]], known: dict[int, Table], touched: set[int]) -> Top:
-        """The tree after a commit. Touched buckets are folded as they were, too: a commit onto rows that do not give the old
+    def _new_top(self, new: Manifest, files: tuple[dict, dict], written: dict[str, list[str]], known: dict[int, Table], touched: set[int]) -> tuple[Top, int]:
+        """The tree after a commit, and how many puts met a taken path. Touched buckets are folded as they were, too: a commit onto rows that do not give the old
         root fails."""
         old, depth = self.manifest, self.manifest.depth
         leaves = self._within(self.leaves(manifest=old, files=files, spark=self.pruning), depth, touched)
         parts = [self._read(known[int(t)], f).select("_bucket", "_path", "_vh", "_deleted") for t, f in written.items()]
         folded = self._fold(leaves, reduce(DataFrame.unionByName, parts) if parts else None, old, new)
-        buckets = list(self.top().levels[-1])
+        buckets, taken = list(self.top().levels[-1]), 0
         for b in touched:
-            was, now = folded.get(b, (EMPTY, EMPTY))
+            was, now, met = folded.get(b, (EMPTY, EMPTY, 0))
+            taken += met
             if was != buckets[b]:
                 raise CorruptedError(f"the rows of version {old.version} do not give its root (bucket {b})")
             buckets[b] = now
-        return Top(buckets)
+        return Top(buckets), taken
 
     def write_base(self, version: int | None = None) -> None:
         """Full states of all tables in one folder each, so reads need not replay older changes."""
@@ -435,7 +442,7 @@ class Store:
         except Exception as e:
             raise CorruptedError(f"version {manifest.version} cannot be verified: {str(e)[:300]}") from e
         for bucket, folded in enumerate(self.top(manifest.version).levels[-1]):
-            if found.get(bucket, (EMPTY, EMPTY))[0] != folded:
+            if found.get(bucket, (EMPTY, EMPTY, 0))[0] != folded:
                 raise CorruptedError(f"the rows of version {manifest.version} do not give its root (bucket {bucket})")
         self._verified.add(manifest.version)
 
@@ -517,6 +524,23 @@ class Store:
         dealt = questions.unionByName(answers).repartition("b").sortWithinPartitions("b")
         return dealt.mapInArrow(run, "key binary, present boolean, proof binary")
 
+    def check_proofs(self, proofs: DataFrame, root: bytes) -> DataFrame:
+        """proofs (key, present, proof) with `holds`: whether each proof establishes what present says, at this root."""
+        key, names = self.key, proofs.columns
+
+        def run(batches):
+            hasher = Hasher(key)
+            for b in batches:
+                holds = []
+                for k, there, encoded in zip(*[b.column(names.index(c)).to_pylist() for c in ("key", "present", "proof")], strict=True):
+                    try:
+                        holds.append((verify(root, hasher.path(k), Proof.decode(encoded)) is not None) == there)
+                    except InvalidError:
+                        holds.append(False)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(holds, pa.bool_())], [*names, "holds"])
+
+        return proofs.mapInArrow(run, T.StructType([*proofs.schema.fields, T.StructField("holds", T.BooleanType())]))
+
     def verify_value(self, root: bytes, key: bytes, value: bytes, proof: Proof) -> bool:
         path = self.hasher.path(key)
         return verify(root, path, proof) == self.hasher.value(path, value)
