@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import struct
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rootstone.errors import InvalidError
 
@@ -134,6 +136,71 @@ def row_bytes(columns: list[pa.Array], kinds: list[T.DataType]) -> list[bytes]:
     return [b"".join(row) for row in zip(*parts, strict=True)]
 
 
+def row_values(rows: list[bytes], kinds: list[T.DataType]) -> list[list]:
+    """The values of each column from canonical bytes; the inverse of row_bytes."""
+    out: list[list] = [[] for _ in kinds]
+    for raw in rows:
+        at = 0
+        for column, kind in zip(out, kinds, strict=True):
+            there, at = raw[at], at + 1
+            if not there:
+                column.append(None)
+            elif isinstance(kind, (T.StringType, T.BinaryType)):
+                n, shift = 0, 0
+                while True:
+                    b, at = raw[at], at + 1
+                    n |= (b & 0x7F) << shift
+                    shift += 7
+                    if b < 0x80:
+                        break
+                value, at = raw[at : at + n], at + n
+                column.append(value.decode() if isinstance(kind, T.StringType) else value)
+            else:
+                word, at = int.from_bytes(raw[at : at + 8], "big"), at + 8
+                if isinstance(kind, T.DecimalType):
+                    column.append(Decimal(word))
+                elif isinstance(kind, (T.FloatType, T.DoubleType)):
+                    bits = word ^ (1 << 63) if word >> 63 else word ^ ((1 << 64) - 1)
+                    column.append(struct.unpack(">d", bits.to_bytes(8, "big"))[0])
+                else:
+                    number = word - (1 << 63)
+                    column.append(number // 1000 if isinstance(kind, T.TimestampNTZType) else number)
+        if at != len(raw):
+            raise InvalidError("malformed row")
+    return out
+
+
+def with_row(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """df with its columns of schema replaced by _row, their canonical bytes."""
+    names, kinds = schema.names, [f.dataType for f in schema]
+    rest = [f for f in df.schema if f.name not in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index
+            rows = row_bytes([b.column(at(c)) for c in names], kinds)
+            yield pa.RecordBatch.from_arrays([*[b.column(at(f.name)) for f in rest], pa.array(rows, pa.binary())], [*[f.name for f in rest], "_row"])
+
+    return df.mapInArrow(run, T.StructType([*rest, T.StructField("_row", T.BinaryType())]))
+
+
+def without_row(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The inverse of with_row."""
+    kinds = [f.dataType for f in schema]
+    rest = [f for f in df.schema if f.name != "_row"]
+    loose = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(loose)
+        for b in batches:
+            at = b.schema.get_field_index
+            columns = row_values(b.column(at("_row")).to_pylist(), kinds)
+            made = [pa.array(c, pa.int64()).cast(f.type) if pa.types.is_timestamp(f.type) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*made, *[b.column(at(f.name)) for f in rest]], [*schema.names, *[f.name for f in rest]])
+
+    return df.mapInArrow(run, T.StructType([*loose.fields, *rest]))
+
+
 def key_bytes(columns: list[pa.Array], kinds: list[T.DataType], table_id: int) -> list[bytes]:
     prefix = ROW_PREFIX + table_id.to_bytes(8, "big")
     return [prefix + b"".join(row) for row in zip(*[_encoded(c, k, True) for c, k in zip(columns, kinds, strict=True)], strict=True)]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootstone.errors import ConflictError, CorruptedError, DuplicateKeyError, InvalidError, MissingError
-from rootstone.functions.commitments import HIDDEN, HISTORY_KEY, RESERVED, VALUE_AAD, Hasher, chain_link, committed, recommitted_plain
+from rootstone.functions.commitments import HIDDEN, HISTORY_KEY, RESERVED, VALUE_AAD, Hasher, chain_link, committed, recommitted_plain, with_row, without_row
 from rootstone.functions.merkle import EMPTY, GONE, OLD, PUT, Folded, Leaves, Proof, Top, bucket_at, fold_buckets, prove, verify
 from rootstone.sources.files import Folder
 from rootstone.sources.manifests import Log, Manifest
@@ -83,7 +83,7 @@ class Store:
         self.path, self.key, self.storage_key = path.rstrip("/"), key, storage_key
         #: Points and commits read some buckets and check what they find against the tree, so they may trust file statistics to
         #: skip row groups. Snapshots are checked as a whole before filters come in, so their scans must not trust them.
-        self.pruning, self.spark = spark, self._untrusting(spark)
+        self.pruning, self.spark = self._session(spark, True), self._session(spark, False)
         self.hasher, self.folder = Hasher(key), Folder(spark, path)
         self.log = Log(self.folder, key)
         self.lock = threading.RLock()
@@ -93,11 +93,12 @@ class Store:
         self.manifest: Manifest = None  # type: ignore[assignment]
 
     @staticmethod
-    def _untrusting(spark: SparkSession) -> SparkSession:
+    def _session(spark: SparkSession, skipping: bool) -> SparkSession:
         own = spark.newSession()
         for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
             own.conf.set(name, spark.conf.get(name))
-        own.conf.set("spark.sql.parquet.filterPushdown", "false")
+        own.conf.set("spark.sql.parquet.filterPushdown", str(skipping).lower())
+        own.conf.set("spark.sql.redaction.string.regex", "0x[0-9a-fA-F]{64}|X'[0-9a-fA-F]{64}'")  # the storage key in plans
         return own
 
     # opening
@@ -205,18 +206,38 @@ class Store:
         return found
 
     def _stored(self, table: Table) -> T.StructType:
-        """Columns of a table's files; with a storage key, the values of table 0 are sealed."""
-        return T.StructType([*table.schema.fields, *HIDDEN, T.StructField("_version", T.LongType()), T.StructField("_deleted", T.BooleanType())])
+        """Columns of a table's files. With a storage key, values of table 0 are sealed, and rows of others are one sealed column."""
+        own = [T.StructField("_sealed", T.BinaryType())] if self._rows_sealed(table) else table.schema.fields
+        return T.StructType([*own, *HIDDEN, T.StructField("_version", T.LongType()), T.StructField("_deleted", T.BooleanType())])
 
     def _read(self, table: Table, folders: list[str], spark: SparkSession | None = None) -> DataFrame:
         return (spark or self.spark).read.schema(self._stored(table)).parquet(*[f"{self.path}/{f}" for f in folders])
 
+    def _rows_sealed(self, table: Table) -> bool:
+        return table.id != 0 and self.storage_key is not None
+
+    def sealed(self, df: DataFrame, table: Table) -> DataFrame:
+        """Rows as they are written: the columns of the table become one sealed column, if the store has a storage key."""
+        if not self._rows_sealed(table):
+            return df
+        rows = with_row(df, table.schema)
+        return rows.withColumn("_sealed", self._sealing("_row")[0]).drop("_row")
+
+    def unsealed(self, df: DataFrame, table: Table) -> DataFrame:
+        if not self._rows_sealed(table):
+            return df
+        return without_row(df.withColumn("_row", self._sealing("_sealed")[1]).drop("_sealed"), table.schema)
+
     def changes_of(self, table: Table, version: int) -> DataFrame | None:
         folders = self._at(version).files.get(str(table.id))
-        return self._read(table, folders) if folders else None
+        return self.unsealed(self._read(table, folders), table) if folders else None
 
     def rows(self, table: Table = PLAIN, version: int | None = None, files: tuple[dict, dict] | None = None, spark: SparkSession | None = None) -> DataFrame:
         """The live rows of a version with the hidden columns. The folders are fixed when this is called."""
+        return self.unsealed(self._live(table, version, files, spark), table).select(*table.schema.names, *[f.name for f in HIDDEN], "_version", "_deleted")
+
+    def _live(self, table: Table = PLAIN, version: int | None = None, files: tuple[dict, dict] | None = None, spark: SparkSession | None = None) -> DataFrame:
+        """The same as it is stored."""
         base, changes = files or self.log.layout(self._at(version).version)
         old, new = base.get(str(table.id)), changes.get(str(table.id))
         if not new:
@@ -231,10 +252,10 @@ class Store:
         kept = self._read(table, old, spark).join(self._read(table, new, spark).select("_path").distinct(), "_path", "left_anti")
         return kept.select(*self._stored(table).names).unionByName(live)
 
-    def _sealing(self) -> tuple[Column, Column]:
+    def _sealing(self, column: str = "value") -> tuple[Column, Column]:
         aad = F.concat(F.lit(VALUE_AAD), F.col("_path"))
         key = F.lit(self.storage_key)
-        return F.aes_encrypt(F.col("value"), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"").cast("binary"), aad), F.aes_decrypt(F.col("value"), key, F.lit("GCM"), F.lit("DEFAULT"), aad)
+        return F.aes_encrypt(F.col(column), key, F.lit("GCM"), F.lit("DEFAULT"), F.lit(b"").cast("binary"), aad), F.aes_decrypt(F.col(column), key, F.lit("GCM"), F.lit("DEFAULT"), aad)
 
     def opened(self, rows: DataFrame, table: Table) -> DataFrame:
         return rows.withColumn("value", self._sealing()[1]) if table.id == 0 and self.storage_key else rows
@@ -245,7 +266,7 @@ class Store:
         files = files or self.log.layout(manifest.version)
         every = [PLAIN, *(Table.decode(d) for d in manifest.tables.values())]
         there = [t for t in every if files[0].get(str(t.id)) or files[1].get(str(t.id))] or [PLAIN]
-        return reduce(DataFrame.unionByName, [self.rows(t, files=files, spark=spark).select("_bucket", "_path", "_vh") for t in there])
+        return reduce(DataFrame.unionByName, [self._live(t, files=files, spark=spark).select("_bucket", "_path", "_vh") for t in there])
 
     def system_leaves(self, manifest: Manifest) -> list[tuple[bytes, bytes]]:
         out = []
@@ -306,7 +327,7 @@ class Store:
     def _effective(self, changes: DataFrame, table: Table, files: tuple[dict, dict]) -> DataFrame:
         if not files[0].get(str(table.id)) and not files[1].get(str(table.id)):
             return changes.where("not _deleted")
-        now = self.rows(table, files=files).select(F.col("_path").alias("_p"), F.col("_vh").alias("_now"))
+        now = self._live(table, files=files).select(F.col("_path").alias("_p"), F.col("_vh").alias("_now"))
         joined = changes.join(now, F.col("_path") == F.col("_p"), "left")
         differs = F.when(F.col("_deleted"), F.col("_now").isNotNull()).otherwise(F.col("_now").isNull() | (F.col("_now") != F.col("_vh")))
         return joined.where(differs).select(*changes.columns)
@@ -340,7 +361,7 @@ class Store:
                 if table_id == 0 and self.storage_key:
                     kept = kept.withColumn("value", self._sealing()[0])
                 seen = Observation()
-                counted = kept.select(*self._stored(table).names).observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set(F.shiftright("_bucket", shift)).alias("buckets"))
+                counted = self.sealed(kept, table).select(*self._stored(table).names).observe(seen, F.count(F.lit(1)).alias("n"), F.collect_set(F.shiftright("_bucket", shift)).alias("buckets"))
                 counted.sortWithinPartitions("_path").write.parquet(f"{self.path}/{folder}")
                 if seen.get["n"]:
                     written[str(table_id)] = [folder]
@@ -411,7 +432,7 @@ class Store:
         for table in [PLAIN, *(Table.decode(d) for d in manifest.tables.values())]:
             if files[1].get(str(table.id)):
                 folder = f"data/{table.id}/base-{manifest.version:020d}-{uuid.uuid4().hex}"
-                self.rows(table, files=files).sortWithinPartitions("_path").write.parquet(f"{self.path}/{folder}")
+                self._live(table, files=files).sortWithinPartitions("_path").write.parquet(f"{self.path}/{folder}")
                 out[str(table.id)] = [folder]
             elif files[0].get(str(table.id)):
                 out[str(table.id)] = files[0][str(table.id)]

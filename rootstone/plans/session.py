@@ -249,7 +249,7 @@ class Session:
                     raise ConflictError("a table was dropped meanwhile")
                 net, table = overlay.net(table_id), tables[table_id]
                 if moved:
-                    now = self.store.rows(table).select(F.col("_path").alias("_p"), F.col("_vh").alias("_now"))
+                    now = self.store._live(table).select(F.col("_path").alias("_p"), F.col("_vh").alias("_now"))
                     other = net.join(now, F.col("_path") == F.col("_p"), "left").where(~F.col("_base").eqNullSafe(F.col("_now")))
                     if other.limit(1).count():
                         raise ConflictError("a row was changed by another transaction")
@@ -372,7 +372,7 @@ class Session:
         fails leaves nothing."""
         if not self.open and self.autocommit or (not self.open and not self.overlay.deltas):
             self.base = self.store.version
-        now = self.store.rows(table).select(F.col("_path").alias("_p"), F.col("_vh").alias("_now"))
+        now = self.store._live(table).select(F.col("_path").alias("_p"), F.col("_vh").alias("_now"))
         before = self.overlay.net(table.id)
         based = delta.join(now, F.col("_path") == F.col("_p"), "left").drop("_p")
         if before is not None:
@@ -382,8 +382,10 @@ class Session:
             based = based.withColumn("_base", F.col("_now"))
         names = [*table.schema.names, "_path", "_vh", "_bucket", "_deleted", "_base"]
         folder = f"{self.store.path}/_txn/{uuid.uuid4().hex}"
-        based.select(*names).write.parquet(folder)
-        staged = self.store.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in based.select(*names).schema])).parquet(folder)
+        written = self.store.sealed(based.select(*names), table)
+        written.write.parquet(folder)
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in written.schema])
+        staged = self.store.unsealed(self.store.spark.read.schema(schema).parquet(folder), table).select(*names)
         if new_keys is not None:
             again = staged.where("not _deleted").groupBy("_path").count().where("count > 1").select("_path")
             leaving = staged.where("_deleted").select("_path")

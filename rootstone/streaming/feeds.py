@@ -33,14 +33,14 @@ def change_stream(store: Store, table: Table = PLAIN) -> DataFrame:
     must not see a commit that then fails should compare version with store.version.
     """
     files = store.spark.readStream.schema(store._stored(table)).parquet(f"{store.path}/data/{table.id}/[0-9]*")
-    return store.opened(files, table).select(*table.schema.names, F.col("_version").alias("version"), F.col("_deleted").alias("deleted"))
+    return store.unsealed(store.opened(files, table), table).select(*table.schema.names, F.col("_version").alias("version"), F.col("_deleted").alias("deleted"))
 
 
 def changes_between(store: Store, after: int, upto: int | None = None, table: Table = PLAIN) -> DataFrame:
     """The same as a batch: changes of versions after+1 .. upto, oldest first per row."""
     upto = store.version if upto is None else upto
     parts = [p for v in store.log.versions() if after < v <= upto if (p := store.changes_of(table, v)) is not None]
-    rows = parts[0] if parts else store.spark.createDataFrame([], store._stored(table))
+    rows = parts[0] if parts else store.rows(table, 0)
     for p in parts[1:]:
         rows = rows.unionByName(p)
     return store.opened(rows, table).select(*table.schema.names, F.col("_version").alias("version"), F.col("_deleted").alias("deleted"))
