@@ -44,6 +44,20 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than one in HOT_ONE_IN of all rows is hot; so there are fewer than HOT_ONE_IN hot keys.
+HOT_ONE_IN = 1000
+
+
+def join_counted(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows joined with lookup, which has one row per key, and in column n how many of the total rows have it. Rows of hot keys
+    stay where they are and meet a broadcast of fewer than HOT_ONE_IN rows of lookup; the others are dealt out by key."""
+    from pyspark.sql import functions as F
+
+    hot = F.broadcast(lookup.where(F.col(n) * HOT_ONE_IN > F.lit(total)))
+    cool = rows.join(hot.select(*keys), keys, "left_anti").join(lookup.where(F.col(n) * HOT_ONE_IN <= F.lit(total)), keys)
+    return rows.join(hot, keys).unionByName(cool)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x.astype(np.uint64, copy=True)

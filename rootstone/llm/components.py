@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, join_counted, staged
 
 
 def _least_neighbours(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """Per node its least neighbour m, and the number n of its edges."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node hands its larger neighbours to the least node of its neighbourhood (itself included)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least_neighbours(both).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least_neighbours(both).select("u", F.least("u", "m").alias("m"), "n")
+    return join_counted(both.where("v > u"), least, ["u"], "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node hands its smaller neighbours and itself to the least of them. Edges point from larger to smaller ids."""
     least = _least_neighbours(edges)
-    handed = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    handed = join_counted(edges, least, ["u"], "n", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return handed.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -39,8 +40,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _digest(edges)
     while before[0]:
-        stars = small_star(large_star(edges).distinct()).distinct()
-        after = staged(stars, "edges")
+        large = staged(large_star(edges, before[0]).distinct(), "edges")
+        after = staged(small_star(large, before[0]).distinct(), "edges")
+        drop_staged(large)
         drop_staged(edges)
         edges, digest = after, _digest(after)
         if digest == before:

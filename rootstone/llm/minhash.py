@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, linked, lowered, mix64, staged, word_hashes
+from .common import groups, join_counted, linked, lowered, mix64, staged, word_hashes
 from .components import components
 
 BANDS, ROWS = 40, 4
@@ -168,10 +168,11 @@ def near_duplicates(
     schema = "id long, n_shingles long, h1 long, h2 long, sig binary, keys array<long>"
     signed = staged(source.mapInArrow(_signatures(width, bands, rows, seed), schema), "minhash-signatures")
     there = signed.where("id is not null and n_shingles > 0")
-    classes = there.groupBy("n_shingles", "h1", "h2").agg(F.min("id").alias("rep"))
+    classes = staged(there.groupBy("n_shingles", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "minhash-sets")
     least = percent / 100 - ESTIMATE_SLACK
 
-    members = staged(there.select("id", "n_shingles", "h1", "h2").join(classes, ["n_shingles", "h1", "h2"]).select("id", "rep"), "minhash-classes")
+    members = join_counted(there.select("id", "n_shingles", "h1", "h2"), classes, ["n_shingles", "h1", "h2"], "n", there.count())
+    members = staged(members.select("id", "rep"), "minhash-classes")
     reps = there.join(members.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "sig", "keys").dropDuplicates(["id"])
     banded = reps.select("id", F.posexplode("keys")).select("id", F.xxhash64("pos", "col").alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

@@ -105,3 +105,12 @@ def test_components(frame):
     want = roots({x for e in pairs for x in e}, pairs)
     assert {r.id: r.component for r in found} == want and len(found) == len(want)
     assert components(frame([], "u long, v long")).count() == 0
+
+
+def test_hot_keys_are_joined_whole(frame):
+    from rootstone.llm.common import join_counted
+
+    rows = frame([(k % 7 if k % 2 else 3, k) for k in range(4000)] + [(k, k) for k in range(100, 2600)], "u long, v long")
+    lookup = rows.groupBy("u").count().withColumnRenamed("count", "n")
+    found = join_counted(rows, lookup, ["u"], "n", rows.count())
+    assert found.count() == 6500 and found.distinct().count() == 6500 and found.groupBy("u").count().join(lookup, "u").where("count <> n").count() == 0
