@@ -72,9 +72,12 @@ def checkpoint_mac(key: bytes, payload: bytes) -> bytes:
     return hmac.digest(hmac.digest(key, CHECKPOINT_TAG, "sha256"), payload, "sha256")
 
 
+#: Of a path, the bits by which files are sorted and pruned; buckets of the tree are of so many bits at most, less four.
+BUCKET_BITS = 24
+
+
 def bucket_of(path: bytes) -> int:
-    """The first 16 bits of a path, by which files are sorted and pruned."""
-    return int.from_bytes(path[:2], "big")
+    return int.from_bytes(path[: BUCKET_BITS // 8], "big")
 
 
 def _ordered_ints(values: np.ndarray) -> list[bytes]:
@@ -236,7 +239,7 @@ def committed(df: DataFrame, schema: T.StructType, primary: list[str], table_id:
             keys, values = encode(batch)
             paths = [hasher.path(k) for k in keys]
             hashes = [hasher.value(p, v) for p, v in zip(paths, values, strict=True)]
-            buckets = np.frombuffer(b"".join(p[:2] for p in paths), ">u2").astype(np.int32)
+            buckets = np.frombuffer(b"".join(b"\0" + p[:3] for p in paths), ">u4").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.binary()), pa.array(hashes, pa.binary()), pa.array(buckets)], [*kept, "_path", "_vh", "_bucket"])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *HIDDEN]))

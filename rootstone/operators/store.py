@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootstone.errors import ConflictError, CorruptedError, DuplicateKeyError, InvalidError, MissingError
-from rootstone.functions.commitments import HIDDEN, HISTORY_KEY, RESERVED, VALUE_AAD, Hasher, chain_link, committed, recommitted_plain, with_row, without_row
+from rootstone.functions.commitments import BUCKET_BITS, HIDDEN, HISTORY_KEY, RESERVED, VALUE_AAD, Hasher, bucket_of, chain_link, committed, recommitted_plain, with_row, without_row
 from rootstone.functions.merkle import EMPTY, GONE, OLD, PUT, Folded, Leaves, Proof, Top, bucket_at, fold_buckets, prove, verify
 from rootstone.sources.files import Folder
 from rootstone.sources.manifests import Log, Manifest
@@ -109,8 +109,8 @@ class Store:
         store = cls(spark, path, key, storage_key)
         if store.log.versions():
             raise InvalidError(f"there is a store in {path}")
-        if not 0 <= depth <= 16:
-            raise InvalidError("depth is 0 to 16")
+        if not 0 <= depth <= BUCKET_BITS - 4:
+            raise InvalidError(f"depth is 0 to {BUCKET_BITS - 4}")
         top = Top([EMPTY] * (1 << depth))
         store.manifest = Manifest(0, top.root.hex(), history=history, depth=depth, sealed=storage_key is not None)
         store.log.publish(store.manifest, top)
@@ -277,17 +277,18 @@ class Store:
 
     def _within(self, leaves: DataFrame, depth: int, wanted: set[int]) -> DataFrame:
         """Leaves of some buckets. Files are sorted by path, so a range of a few buckets skips row groups."""
-        shift = 16 - depth
-        if len(wanted) == 1 << depth:
+        shift = BUCKET_BITS - depth
+        if len(wanted) * 8 > 1 << depth:
             return leaves
-        if len(wanted) > 64:
-            return leaves.where(F.shiftright("_bucket", shift).isin(*wanted))
+        if len(wanted) > 64:  # at most 2^17 numbers
+            few = leaves.sparkSession.createDataFrame([(b,) for b in wanted], "_b int")
+            return leaves.join(F.broadcast(few), F.shiftright("_bucket", shift) == F.col("_b"), "left_semi")
         ranges = [F.col("_bucket").between(b << shift, (b + 1 << shift) - 1) for b in sorted(wanted)]
         return leaves.where(reduce(lambda a, b: a | b, ranges))
 
     def _fold(self, old: DataFrame, changes: DataFrame | None, before: Manifest, after: Manifest) -> dict[int, tuple[Folded, Folded, int]]:
         """Per bucket that has leaves: folded as it was and as it becomes, and how many puts met a taken path. 2^depth rows come to the driver at most."""
-        own = F.shiftright("_bucket", 16 - before.depth).alias("b")
+        own = F.shiftright("_bucket", BUCKET_BITS - before.depth).alias("b")
         rows = old.select(own, "_path", "_vh", F.lit(OLD).alias("kind"))
         if changes is not None:
             rows = rows.unionByName(changes.select(own, "_path", "_vh", F.when(F.col("_deleted"), GONE).otherwise(PUT).alias("kind")))
@@ -353,7 +354,7 @@ class Store:
                 known.setdefault(t["id"], Table.decode(t))
             written: dict[str, list[str]] = {}
             touched: set[int] = set()
-            shift = 16 - old.depth
+            shift = BUCKET_BITS - old.depth
             for table_id, changes in parts.items():
                 table = known[table_id]
                 folder = f"data/{table_id}/{version:020d}-{uuid.uuid4().hex}"
@@ -507,25 +508,26 @@ class Store:
     def prove_all(self, keys: DataFrame, version: int | None = None) -> DataFrame:
         """(key, present, proof) of many keys at once: each bucket proves its own keys. keys: one binary column key."""
         manifest = self._at(version)
-        top, hasher_key, depth, shift = self.top(manifest.version), self.key, manifest.depth, 16 - manifest.depth
-        system = self.system_leaves(manifest)
-        ways = {b: top.way(b) for b in range(1 << depth)}
-        wanted = self.spark.sparkContext.broadcast((ways, system))
-        asked = committed(keys.select("key", F.lit(None).cast("binary").alias("value")), KV, ["key"], 0, hasher_key).select("key", "_path", F.shiftright("_bucket", shift).alias("own"))
-        goes = F.create_map(*[F.lit(x) for b, w in ways.items() if w[0] is not None and w[0] != b for x in (b, w[0])]) if any(w[0] not in (None, b) for b, w in ways.items()) else None
-        bucket = F.coalesce(F.try_element_at(goes, F.col("own")), F.col("own")) if goes is not None else F.col("own")
-        questions = asked.select(bucket.alias("b"), "key", "_path", F.lit(None).cast("binary").alias("_vh"))
-        answers = self.leaves(manifest=manifest).select(F.shiftright("_bucket", shift).alias("b"), F.lit(None).cast("binary").alias("key"), "_path", "_vh")
+        depth, system = manifest.depth, self.system_leaves(manifest)
+        tree = self.spark.sparkContext.broadcast(self.top(manifest.version).encode())  # 33 bytes a bucket
+
+        def routed(batches):
+            """The bucket whose leaves end a key's way: its own, or the one that holds a lonely leaf above it."""
+            top = Top.decode(tree.value)
+            for batch in batches:
+                paths = batch.column(1).to_pylist()
+                own = [bucket_at(p, depth) for p in paths]
+                yield pa.RecordBatch.from_arrays([pa.array([b if (w := top.way(b)[0]) is None else w for b in own], pa.int32()), *batch.columns], ["b", "key", "_path"])
 
         def run(batches):
-            ways, system = wanted.value
-            held: dict[int, tuple[list, list]] = {}
+            top = Top.decode(tree.value)
+            now, asked, held = None, [], []
 
-            def close(b: int):
-                leaves = Leaves(held[b][1] + [x for x in system if bucket_at(x[0], depth) == b])
+            def close():
+                leaves = Leaves(held + [x for x in system if bucket_at(x[0], depth) == now])
                 keys, present, proofs = [], [], []
-                for key, path in held.pop(b)[0]:
-                    own, above, siblings = ways[bucket_at(path, depth)]
+                for key, path in asked:
+                    own, above, siblings = top.way(bucket_at(path, depth))
                     leaf, below = (None, []) if own is None else (leaves.leaves[0], []) if above else leaves.descend(int.from_bytes(path, "big"), depth)
                     keys.append(key)
                     present.append(leaf is not None and leaf[0] == path)
@@ -534,14 +536,19 @@ class Store:
 
             for batch in batches:
                 for b, key, path, vh in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    if b not in held:
-                        for done in list(held):
-                            yield close(done)
-                        held[b] = ([], [])
-                    held[b][0].append((key, path)) if vh is None else held[b][1].append((path, vh))
-            for done in list(held):
-                yield close(done)
-
+                    if b != now:
+                        if asked:
+                            yield close()
+                        now, asked, held = b, [], []
+                    asked.append((key, path)) if vh is None else held.append((path, vh))
+            if asked:
+                yield close()
+
+        empty = F.lit(None).cast("binary")
+        paths = committed(keys.select("key", empty.alias("value")), KV, ["key"], 0, self.key).select("key", "_path")
+        questions = paths.mapInArrow(routed, "b int, key binary, _path binary").withColumn("_vh", empty)
+        own = F.shiftright("_bucket", BUCKET_BITS - depth).alias("b")
+        answers = self.leaves(manifest=manifest).select(own, empty.alias("key"), "_path", "_vh")
         dealt = questions.unionByName(answers).repartition("b").sortWithinPartitions("b")
         return dealt.mapInArrow(run, "key binary, present boolean, proof binary")
 
@@ -578,7 +585,7 @@ class Store:
             return bytes.fromhex(manifest.system[key.hex()])
         if vh is None:
             return None
-        near = self.rows(PLAIN, manifest.version, spark=self.pruning).where((F.col("_bucket") == int.from_bytes(path[:2], "big")) & (F.col("_path") == F.lit(path)))
+        near = self.rows(PLAIN, manifest.version, spark=self.pruning).where((F.col("_bucket") == bucket_of(path)) & (F.col("_path") == F.lit(path)))
         try:
             found = [r[0] for r in self.opened(near, PLAIN).select("value").collect()]
         except Exception as e:
@@ -711,7 +718,7 @@ class Store:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.nulls(len(b), pa.binary()), b.column(1), pa.array([False] * len(b)), b.column(0), pa.array([hasher.value(p, v) for p, v in zip(paths, values, strict=True)], pa.binary()),
-                        pa.array([int.from_bytes(p[:2], "big") for p in paths], pa.int32()),
+                        pa.array([bucket_of(p) for p in paths], pa.int32()),
                     ],
                     ["key", "value", "_deleted", "_path", "_vh", "_bucket"],
                 )

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rootstone.errors import ConflictError, DuplicateKeyError, InvalidError, MissingError
-from rootstone.functions.commitments import CATALOG_PREFIX, HISTORY_KEY, committed, one_row_key, supported
+from rootstone.functions.commitments import CATALOG_PREFIX, HISTORY_KEY, bucket_of, committed, one_row_key, supported
 from rootstone.functions.merkle import Proof, verify
 from rootstone.operators.store import Store, Table
 
@@ -94,7 +94,7 @@ class Database:
         vh = verify(root, path, proof)
         if vh is None:
             return VerifiedRow(None, path, None, proof, root, version)
-        near = self.store.rows(table, spark=self.store.pruning).where((F.col("_bucket") == int.from_bytes(path[:2], "big")) & (F.col("_path") == F.lit(path))).select(*table.schema.names)
+        near = self.store.rows(table, spark=self.store.pruning).where((F.col("_bucket") == bucket_of(path)) & (F.col("_path") == F.lit(path))).select(*table.schema.names)
         again = committed(near, table.schema, table.primary, table.id, self.store.key).collect()
         if len(again) != 1 or bytes(again[0]._path) != path or bytes(again[0]._vh) != vh:
             from rootstone.errors import CorruptedError

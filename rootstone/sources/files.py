@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import SparkSession
 
 from rootstone.errors import BackendError
 
+#: Seconds after which a claimed name whose file was never written is free again.
+ABANDONED_S = 600
+
 
 class Folder:
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -23,6 +28,8 @@ class Folder:
         self._fs.mkdirs(lock.getParent())
         if self._fs.exists(self._at(name)):
             return False
+        if self._fs.exists(lock) and time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000 > ABANDONED_S:
+            self._fs.delete(lock, False)  # its writer died before it wrote
         try:
             self._fs.create(lock, False).close()
         except Exception as e:

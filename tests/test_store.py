@@ -291,3 +291,21 @@ def test_tampered_table_data_fails_closed(spark, tmp_path):
 
 def test_schema_of_plain_keys():
     assert KV.names == ["key", "value"] and verify.__doc__
+
+
+def test_many_buckets_and_abandoned_names(spark, tmp_path, monkeypatch):
+    from rootstone.sources import files
+
+    s = create(spark, tmp_path, depth=12)
+    s.put_batch([put(b"k%d" % i, b"v") for i in range(300)])
+    keys = [b"k%d" % i for i in range(0, 300, 7)] + [b"none%d" % i for i in range(40)]
+    found = s.prove_all(spark.createDataFrame([(bytearray(k),) for k in keys], "key binary"))
+    checked = s.check_proofs(found, s.root).collect()
+    assert len(checked) == len(keys) and all(r.holds for r in checked) and {bytes(r.key) for r in checked if r.present} == set(keys[:43])
+    assert not any(r.holds for r in s.check_proofs(found, bytes(32)).collect())
+    lock = tmp_path / "s/_log" / f"{2:020d}.buckets.lock"
+    lock.touch()
+    with pytest.raises(ConflictError):
+        s.put_batch([put(b"x", b"1")])
+    monkeypatch.setattr(files, "ABANDONED_S", -1)
+    assert s.put_batch([put(b"x", b"1")])[1] == 2
