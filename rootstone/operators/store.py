@@ -276,9 +276,9 @@ class Store:
         return out
 
     def _within(self, leaves: DataFrame, depth: int, wanted: set[int]) -> DataFrame:
-        """Leaves of some buckets. Files are sorted by path, so a range of a few buckets skips row groups."""
+        """Leaves of some buckets, or of all where these are many. Files are sorted by path, so ranges of a few buckets skip row groups."""
         shift = BUCKET_BITS - depth
-        if len(wanted) * 8 > 1 << depth:
+        if len(wanted) > 64 and len(wanted) * 8 > 1 << depth:
             return leaves
         if len(wanted) > 64:  # at most 2^17 numbers
             few = leaves.sparkSession.createDataFrame([(b,) for b in wanted], "_b int")
