@@ -23,8 +23,8 @@ SHINGLE = 5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the network knows; rejects those without a letter."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"])
-    found = langid.identify(rows, langid.fit(docs), ["row"])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # its names cannot clash with those added
+    found = langid.identify(rows, langid.fit(docs), ["row"], "row.text")
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 

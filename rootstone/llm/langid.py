@@ -152,13 +152,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Network(langs).train(x, np.array([place[lang] for lang, _ in pairs]))
 
 
-def _predict(network):
+def _text(batch: pa.RecordBatch, at: str) -> list[str | None]:
+    """A column of a batch, or a field of a struct column (row.text)."""
+    column, _, name = at.partition(".")
+    found = batch.column(batch.schema.get_field_index(column))
+    return (found.field(name) if name else found).to_pylist()
+
+
+def _predict(network, at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = network.value
         for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
-                texts = part.column(part.schema.get_field_index("_text")).to_pylist()
+            for first in range(0, len(batch), 128):
+                part = batch.slice(first, 128)
+                texts = _text(part, at)
                 able = [i for i, t in enumerate(texts) if net and has_letter(t)]
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)
                 own = [windows(texts[i].encode("utf-8", "surrogatepass")) for i in able]
@@ -176,7 +183,9 @@ def _predict(network):
 
 
 def identify(docs: DataFrame, network: Network | None, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `carry` of docs with lang_pred and score."""
-    rows = docs.select(*[docs[c] for c in carry], docs[text_col].cast("string").alias("_text"))
+    """The columns `carry` of docs with lang_pred and score. text_col may be a field of a carried struct (row.text), which is
+    then not sent twice."""
+    inside = text_col.partition(".")[0] in carry and "." in text_col
+    rows = docs.select(*[docs[c] for c in carry], *([] if inside else [docs[text_col].cast("string").alias("_text")]))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(network)), schema)
+    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(network), text_col if inside else "_text"), schema)
