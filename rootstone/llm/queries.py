@@ -13,6 +13,29 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+OP1_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT u, v FROM common JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach AS (
+  SELECT doc_id AS id, doc_id AS other FROM documents
+  UNION
+  SELECT r.id, l.v FROM reach r JOIN links l ON r.other = l.u
+), named AS (
+  SELECT id, min(other) AS component_id FROM reach GROUP BY id
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN named c ON c.id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -158,4 +181,4 @@ FROM stay s JOIN rendered r ON s.conv_id IS NOT DISTINCT FROM r.conv_id
 
 QUERIES = {"op1_minhash": op1_minhash, "op2_embeddings": op2_embeddings, "op3_lines": op3_lines, "op4_licenses": op4_licenses, "op5_langid": op5_langid, "op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op8_mixing": op8_mixing, "op9_topk": op9_topk, "op10_chat": op10_chat}
 
-ORACLE: dict[str, str] = {"op2_embeddings": OP2_SQL, "op3_lines": OP3_SQL, "op9_topk": OP9_SQL, "op10_chat": OP10_SQL}
+ORACLE: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_embeddings": OP2_SQL, "op3_lines": OP3_SQL, "op9_topk": OP9_SQL, "op10_chat": OP10_SQL}

@@ -34,7 +34,6 @@ def test_columns_of_the_rest(spark):
     from rootstone.llm.queries import ORACLE, QUERIES
 
     wanted = {
-        "op1_minhash": ["doc_id", "n_shingles", "component_id", "kept"],
         "op4_licenses": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
         "op5_langid": ["doc_id", "held_out", "lang_pred", "score"],
         "op6_toxicity": ["doc_id", "held_out", "score", "predicted"],
