@@ -4,8 +4,8 @@ as they stream by, and only compressed per-document bitmaps travel back to the t
 Semantics. A text is split at \\n (null and empty: one empty line). A line's key is the line with ASCII white space stripped
 at both ends and A-Z lower-cased; two keys are the same if their 96 bits of hash are. A key of at least one code point
 that occurs in at least `min_docs` documents repeats. Mode "all" drops all its lines, mode "first" all but its first
-occurrence by (id, text hash, position). All other lines stay, joined by \\n; other columns are passed on unread. Rows that repeat
-an id count as one document, null ids as one too.
+occurrence by (id, text hash, position); rows of equal id and text share that occurrence and each keep it. All other lines stay,
+joined by \\n; other columns are passed on unread. Rows that repeat an id count as one document, null ids as one too.
 """
 
 from __future__ import annotations
@@ -53,10 +53,11 @@ def repeated(keyed: DataFrame, min_docs: int, first: bool) -> DataFrame:
     in_order = run.orderBy("id", "t", "pos")
     place = F.row_number().over(in_order)
     fresh = (place == 1) | ~F.col("id").eqNullSafe(F.lag("id").over(in_order))
-    streamed = cool.select("*", place.alias("place"), fresh.cast("int").alias("fresh")).select("*", F.sum("fresh").over(run).alias("n_docs"))
+    ranked = cool.select("*", F.rank().over(in_order).alias("rank"), fresh.cast("int").alias("fresh"))  # repeated rows share a rank
+    streamed = ranked.select("*", F.sum("fresh").over(run).alias("n_docs"))
     found = streamed.where(F.col("n_docs") >= min_docs)
     if first:
-        found = found.where("place > 1")
+        found = found.where("rank > 1")
 
     of_hot = rows.join(F.broadcast(hot), ["h", "g"])
     at = F.struct("id", "t", "pos")

@@ -70,3 +70,15 @@ def test_bitmaps(frame):
     marks = lines.line_bitmaps(frame([(i, "\n".join(["hot"] + [f"{i} {k}" for k in range(70)] + ["hot"]), *"abcde") for i in range(12)], SCHEMA)).collect()
     assert len(marks) == 12 and all(r.n_dropped == 2 and dict(r.bitmap) == {0: 1, 2: 1 << 7} for r in marks)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("hot", [1000, 1])  # the shared line is hot, cool
+@pytest.mark.parametrize("ids", [[None, None, 7], [3, 3, 7]])
+def test_first_occurrence_in_repeated_rows_stays(frame, monkeypatch, hot, ids):
+    monkeypatch.setattr(lines, "HOT_ONE_IN", hot)
+    rows = [(ids[0], "shared\nmine"), (ids[1], "shared\nmine"), (ids[2], "Shared\nother"), *[(100 + i, f"shared\n{i}") for i in range(12)]]
+    found = lines.drop_repeated(frame([(*r, "a", "b", "c", "d", "e") for r in rows], SCHEMA), min_docs=3, first=True).collect()
+    kept = [(r.doc_id, r.text) for r in found if "shared" in r.text.lower().split("\n")]
+    least = min(((i is not None, i or 0) for i in ids))  # nulls sort first
+    assert {(i is not None, i or 0) for i, _ in kept} == {least} and len({t for _, t in kept}) == 1  # one text's occurrence
+    assert len(kept) == rows.count((kept[0][0], kept[0][1])) and sum(r.n_dropped for r in found) == len(rows) - len(kept)
