@@ -8,7 +8,8 @@ window and over its best words; a logistic function of these three is the score.
 
 What is counted: the words of all labelled documents of folds 0 and 1 (crc32 of the id as text, modulo 4), by distributed
 aggregation. What is calibrated: the logistic function, on at most about 2 * FIT_ROWS labelled documents of fold 3. Fold 2 is never
-learnt from. The counts sent to the executors are hashed to tables of fixed size, which bounds them whatever the corpus.
+learnt from. The counts are exact: all distinct n-grams of the counted words are collected into sorted tables and sent to the
+executors, so what the driver and each worker hold grows with their number (16 bytes a six-gram, 24 a context, 12 to 16 a shorter one).
 
 Semantics. Words are runs of digits, letters and non-ASCII characters, lower-cased in A-Z. Texts without words and null texts have ratios of
 0, and the score that follows from them. Labels that are null are not read; without labels of both classes every score is 0. Rows that
@@ -25,11 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mix64, staged
+from .common import lowered, staged
 
 ORDER, DISCOUNT = 6, 0.75
-#: Bits of the hashed tables of the longest n-grams and their contexts, and of the shorter ones.
-LONG_BITS, SHORT_BITS = 20, 18
 FIT_ROWS, WINDOW, BEST = 20_000, 12, 3
 THRESHOLD = 0.3
 #: Distinct words whose ratios a worker keeps.
@@ -79,50 +78,41 @@ def _n_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), *map(pa.array, sums)], ["gram", "n0", "n1"])
 
 
-def _bucket(code: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(code + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _hashed(bits: int, context: bool):
-    """Sums per bucket of a table (gram, n0, n1), by n-gram or by its context, before they are dealt out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gram = batch.column(0).to_numpy().view(np.uint64)
-            places, at = np.unique(_bucket(gram >> np.uint64(8) if context else gram, bits), return_inverse=True)
-            n0, n1 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            sums = [np.bincount(at, w, len(places)).astype(np.int64) for w in (n0, n1, n0 > 0, n1 > 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(places), *map(pa.array, sums)], ["bucket", "n0", "n1", "d0", "d1"])
-
-    return run
-
-
 class Model:
-    """Hashed tables. long: counts of six-grams per class; contexts: their totals and numbers of kinds; shared: per shorter
-    order the continuations of n-grams, and totals and kinds of their contexts."""
+    """Exact sorted tables. long: six-grams and their counts per class; contexts: of their first five bytes the totals and
+    numbers of kinds; shared: per shorter order the n-grams, their continuations, and totals and kinds of their contexts."""
 
     def __init__(self, grams: DataFrame) -> None:
-        self.long = self.table(grams, LONG_BITS, False, 2)
-        self.contexts = self.table(grams, LONG_BITS, True, 4)
+        self.long, self.contexts = self.tables(grams, ["n0", "n1"])
         self.shared = {}
         shorter = grams.select("gram")
         for order in range(ORDER - 1, 0, -1):
             ends = shorter.select(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram"))
-            counted = staged(ends.groupBy("gram").agg(F.count("*").alias("n0")).withColumn("n1", F.lit(0).cast("long")), "toxicity-continuations")
-            contexts = self.table(counted, SHORT_BITS, True, 4)
-            self.shared[order] = (self.table(counted, SHORT_BITS, False, 1)[0], contexts[0], contexts[2])
+            counted = staged(ends.groupBy("gram").agg(F.count("*").alias("n")), "toxicity-continuations")
+            self.shared[order] = self.tables(counted, ["n"])
             shorter = counted.select("gram")
 
     @staticmethod
-    def table(grams: DataFrame, bits: int, context: bool, columns: int) -> np.ndarray:
-        """Collects at most 2^bits sums."""
-        names = ["n0", "n1", "d0", "d1"][:columns]
-        hashed = grams.select("gram", "n0", "n1").mapInArrow(_hashed(bits, context), "bucket long, n0 long, n1 long, d0 long, d1 long")
-        rows = hashed.groupBy("bucket").agg(*[F.sum(c).cast("float").alias(c) for c in names]).toArrow()
-        out = np.zeros((columns, 1 << bits), np.float32)
-        for i, name in enumerate(names):
-            out[i, rows.column("bucket").to_numpy()] = rows.column(name).to_numpy()
-        return out
+    def tables(grams: DataFrame, names: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Collects all n-grams: (codes, their counts) and (contexts, their totals and then kinds), each by rising code."""
+        rows = grams.select("gram", *[F.col(n).cast("float").alias(n) for n in names]).toArrow()
+        code = rows.column("gram").to_numpy().view(np.uint64)
+        order = np.argsort(code)
+        code = code[order]
+        n = np.stack([rows.column(name).to_numpy()[order] for name in names])
+        context = code >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])[: len(context)])
+        sums = np.concatenate([np.add.reduceat(x, first, axis=1, dtype=np.float64) for x in (n, n > 0)]) if len(first) else np.zeros((2 * len(names), 0))
+        return (code, n), (context[first], sums.astype(np.float32))
+
+    @staticmethod
+    def found(table: tuple[np.ndarray, np.ndarray], code: np.ndarray) -> np.ndarray:
+        """The columns of a table at the codes, 0 where it has none."""
+        keys, columns = table
+        if not len(keys):
+            return np.zeros((len(columns), len(code)), np.float32)
+        at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+        return np.where(keys[at] == code, columns[:, at], np.float32(0))
 
     @staticmethod
     def discounted(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -133,16 +123,16 @@ class Model:
 
     def ratios(self, some: list[bytes]) -> np.ndarray:
         """Log-likelihood of each word if toxic, less that if ordinary."""
-        code, n = codes(some)
+        every, n = codes(some)
+        code, place = np.unique(every, return_inverse=True)
         p = np.full(len(code), 1 / 256)
         for order in range(1, ORDER):
             gram = code & np.uint64((1 << 8 * order) - 1)
-            counts, totals, kinds = self.shared[order]
-            at = _bucket(gram >> np.uint64(8), SHORT_BITS)
-            p = self.discounted(counts[_bucket(gram, SHORT_BITS)], totals[at], kinds[at], p)
-        at, of = _bucket(code, LONG_BITS), _bucket(code >> np.uint64(8), LONG_BITS)
-        ordinary, toxic = (self.discounted(self.long[c][at], self.contexts[c][of], self.contexts[2 + c][of], p) for c in (0, 1))
-        return np.add.reduceat(np.log(toxic) - np.log(ordinary), np.cumsum(n) - n)
+            counts, contexts = self.shared[order]
+            p = self.discounted(self.found(counts, gram)[0], *self.found(contexts, gram >> np.uint64(8)), p)
+        counts, contexts = self.found(self.long, code), self.found(self.contexts, code >> np.uint64(8))
+        ordinary, toxic = (self.discounted(counts[c], contexts[c], contexts[2 + c], p) for c in (0, 1))
+        return np.add.reduceat((np.log(toxic) - np.log(ordinary))[place], np.cumsum(n) - n)
 
 
 def count(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -111,3 +111,20 @@ def test_features():
     long = np.zeros(100)
     long[50:52] = 6
     assert toxicity.features(long) == pytest.approx((0.12, 1.0, 4.0))
+
+
+def test_tables_grow_with_the_counts(spark):
+    draw = np.random.default_rng(4)
+    code = np.unique(draw.integers(1 << 40, 1 << 48, 2_200_000))  # more than 2^20 and 2^18 of every longer order
+    n0 = draw.integers(0, 9, len(code))
+    model = toxicity.Model(spark.createDataFrame(toxicity.pa.table({"gram": code, "n0": n0, "n1": 9 - n0})))
+    some = draw.integers(0, len(code), 1000)
+    assert (model.found(model.long, code[some].astype(np.uint64)) == [n0[some], 9 - n0[some]]).all()
+    assert not model.found(model.long, np.setdiff1d(code + 1, code)[:1000].astype(np.uint64)).any()
+    contexts, totals = np.unique(code >> 8, return_inverse=True)
+    want = [np.bincount(totals, x) for x in (n0, 9 - n0, n0 > 0, n0 < 9)]
+    assert (model.found(model.contexts, contexts[:1000].astype(np.uint64)) == [x[:1000] for x in want]).all()
+    for order, (counts, _) in model.shared.items():
+        below = code if order == 5 else np.unique(code & ((1 << 8 * order + 8) - 1))
+        ends, n = np.unique(below & ((1 << 8 * order) - 1), return_counts=True)
+        assert (model.found(counts, ends[:1000].astype(np.uint64))[0] == n[:1000]).all()
