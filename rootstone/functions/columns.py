@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .commitments import INNER_TAG, LEAF_TAG
+from .commitments import OWN, Scheme
 
 
 def sha256(*parts: Column) -> Column:
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
-def leaf_hash(path: Column, vh: Column) -> Column:
-    return sha256(F.lit(LEAF_TAG), path, vh)
+def leaf_hash(path: Column, vh: Column, scheme: Scheme = OWN) -> Column:
+    return sha256(F.lit(scheme.leaf), path, vh)
 
 
-def inner_hash(left: Column, right: Column) -> Column:
-    return sha256(F.lit(INNER_TAG), left, right)
+def inner_hash(left: Column, right: Column, scheme: Scheme = OWN) -> Column:
+    return sha256(F.lit(scheme.inner), left, right)

@@ -10,7 +10,9 @@ import hashlib
 import hmac
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from decimal import Decimal
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +23,51 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from rootstone.errors import InvalidError
 
-# Fixed values of the commitment scheme.
-PLACEHOLDER = hashlib.sha256(b"ENCLAVE_OS_MERKLE_PLACEHOLDER").digest()
-LEAF_TAG = b"enclave-os-merkle:leaf:v1"
-INNER_TAG = b"enclave-os-merkle:node:v1"
-CHAIN_TAG = b"immutable-ledger:history:v1"
-CHECKPOINT_TAG = b"immutable-ledger:ckpt-mac:v1"
-RESERVED = b"\x00immutable-ledger:"
-HISTORY_KEY = RESERVED + b"history"
-VALUE_AAD = b"enclave_os_merkle_val"
+from .local import from_arrow, local_rows
+
 ROW_PREFIX, CATALOG_PREFIX = b"sql/r/", b"sql/c/"
 
+
+@dataclass(frozen=True)
+class Scheme:
+    """The byte strings by which a store's hashes are told apart. A store is opened with the scheme that it was made with; who
+    needs the bytes of another implementation gives its strings here."""
+
+    empty: bytes = b"rootstone:empty:v1"
+    leaf: bytes = b"rootstone:leaf:v1"
+    inner: bytes = b"rootstone:inner:v1"
+    chain: bytes = b"rootstone:chain:v1"
+    manifest: bytes = b"rootstone:manifest:v1"
+    #: What reserved keys begin with, and the rest of the key of the chain's own leaf.
+    reserved: bytes = b"\0rootstone:"
+    head: bytes = b"history"
+    #: Additional data of sealed values, before their path.
+    sealed: bytes = b"rootstone:value:v1"
+
+    @cached_property
+    def placeholder(self) -> bytes:
+        return hashlib.sha256(self.empty).digest()
+
+    @property
+    def history_key(self) -> bytes:
+        return self.reserved + self.head
+
+    def leaf_hash(self, path: bytes, vh: bytes) -> bytes:
+        return hashlib.sha256(self.leaf + path + vh).digest()
+
+    def inner_hash(self, left: bytes, right: bytes) -> bytes:
+        return hashlib.sha256(self.inner + left + right).digest()
+
+    def chain_link(self, head: bytes, root: bytes, version: int) -> bytes:
+        return hashlib.sha256(self.chain + head + root + version.to_bytes(8, "big")).digest()
+
+    def mac(self, key: bytes, payload: bytes) -> bytes:
+        """Of manifests, by a key derived from the commitment key."""
+        return hmac.digest(hmac.digest(key, self.manifest, "sha256"), payload, "sha256")
+
+
+OWN = Scheme()
+
 HIDDEN = [T.StructField("_path", T.BinaryType()), T.StructField("_vh", T.BinaryType()), T.StructField("_bucket", T.IntegerType())]
 
 
@@ -56,22 +92,6 @@ class Hasher:
         return self(b"v" + path + value)
 
 
-def leaf_hash(path: bytes, vh: bytes) -> bytes:
-    return hashlib.sha256(LEAF_TAG + path + vh).digest()
-
-
-def inner_hash(left: bytes, right: bytes) -> bytes:
-    return hashlib.sha256(INNER_TAG + left + right).digest()
-
-
-def chain_link(head: bytes, root: bytes, version: int) -> bytes:
-    return hashlib.sha256(CHAIN_TAG + head + root + version.to_bytes(8, "big")).digest()
-
-
-def checkpoint_mac(key: bytes, payload: bytes) -> bytes:
-    return hmac.digest(hmac.digest(key, CHECKPOINT_TAG, "sha256"), payload, "sha256")
-
-
 #: Of a path, the bits by which files are sorted and pruned; buckets of the tree are of so many bits at most, less four.
 BUCKET_BITS = 24
 
@@ -209,6 +229,12 @@ def key_bytes(columns: list[pa.Array], kinds: list[T.DataType], table_id: int) -
     return [prefix + b"".join(row) for row in zip(*[_encoded(c, k, True) for c, k in zip(columns, kinds, strict=True)], strict=True)]
 
 
+def prefix_end(prefix: bytes) -> bytes:
+    """The least key above all keys with this prefix; empty (no bound) if there is none."""
+    kept = prefix.rstrip(b"\xff")
+    return kept[:-1] + bytes([kept[-1] + 1]) if kept else b""
+
+
 def one_row_key(values: list, kinds: list[T.DataType], table_id: int) -> bytes:
     arrow = {T.LongType: pa.int64(), T.StringType: pa.string(), T.BinaryType: pa.binary(), T.DoubleType: pa.float64(), T.TimestampNTZType: pa.timestamp("us")}
     columns = [pa.array([Decimal(v) if isinstance(k, T.DecimalType) else v], arrow.get(type(k))) for v, k in zip(values, kinds, strict=True)]
@@ -229,9 +255,9 @@ def _keys_and_values(schema: T.StructType, primary: list[str], table_id: int) ->
     return run
 
 
-def committed(df: DataFrame, schema: T.StructType, primary: list[str], table_id: int, key: bytes) -> DataFrame:
-    """df with _path, _vh and _bucket of each row; other columns of df are kept."""
-    encode, kept = _keys_and_values(schema, primary, table_id), df.columns
+def committer(names: list[str], schema: T.StructType, primary: list[str], table_id: int, key: bytes) -> Callable:
+    """Adds _path, _vh and _bucket to batches with these columns."""
+    encode = _keys_and_values(schema, primary, table_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(key)
@@ -240,9 +266,17 @@ def committed(df: DataFrame, schema: T.StructType, primary: list[str], table_id:
             paths = [hasher.path(k) for k in keys]
             hashes = [hasher.value(p, v) for p, v in zip(paths, values, strict=True)]
             buckets = np.frombuffer(b"".join(b"\0" + p[:3] for p in paths), ">u4").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.binary()), pa.array(hashes, pa.binary()), pa.array(buckets)], [*kept, "_path", "_vh", "_bucket"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.binary()), pa.array(hashes, pa.binary()), pa.array(buckets)], [*names, "_path", "_vh", "_bucket"])
+
+    return run
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *HIDDEN]))
+
+def committed(df: DataFrame, schema: T.StructType, primary: list[str], table_id: int, key: bytes) -> DataFrame:
+    """df with _path, _vh and _bucket of each row; other columns of df are kept."""
+    run, out = committer(df.columns, schema, primary, table_id, key), T.StructType([*df.schema.fields, *HIDDEN])
+    if (here := local_rows(df)) is not None:
+        return from_arrow(df.sparkSession, list(run(here.to_batches())), out)
+    return df.mapInArrow(run, out)
 
 
 def recommitted_plain(rows: DataFrame, key: bytes) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from rootstone.errors import InvalidError
 
-from .commitments import PLACEHOLDER, inner_hash, leaf_hash
+from .commitments import OWN, Scheme
 
 BITS = 256
 
@@ -25,23 +25,21 @@ class Folded(NamedTuple):
     hash: bytes
 
 
-EMPTY = Folded(0, PLACEHOLDER)
+def empty(scheme: Scheme = OWN) -> Folded:
+    return Folded(0, scheme.placeholder)
 
 
-def join(left: Folded, right: Folded) -> Folded:
-    count = left.count + right.count
-    if count == 0:
-        return EMPTY
-    if count == 1:
+def join(left: Folded, right: Folded, scheme: Scheme = OWN) -> Folded:
+    if left.count + right.count < 2:
         return left if left.count else right
-    return Folded(2, inner_hash(left.hash, right.hash))
+    return Folded(2, scheme.inner_hash(left.hash, right.hash))
 
 
 class Leaves:
     """Leaves sorted by path."""
 
-    def __init__(self, leaves: list[tuple[bytes, bytes]]) -> None:
-        self.leaves = sorted(leaves)
+    def __init__(self, leaves: list[tuple[bytes, bytes]], scheme: Scheme = OWN) -> None:
+        self.leaves, self.scheme = sorted(leaves), scheme
         self.paths = [int.from_bytes(p, "big") for p, _ in self.leaves]
         self._known: dict[tuple[int, int, int], bytes] = {}
         if any(a == b for a, b in zip(self.paths, self.paths[1:], strict=False)):
@@ -54,11 +52,11 @@ class Leaves:
     def fold(self, depth: int, low: int = 0, high: int | None = None) -> Folded:
         high = len(self.paths) if high is None else high
         if high == low:
-            return EMPTY
+            return empty(self.scheme)
         if high - low == 1:
-            return Folded(1, leaf_hash(*self.leaves[low]))
+            return Folded(1, self.scheme.leaf_hash(*self.leaves[low]))
         middle = self.split(low, high, depth)
-        return Folded(2, inner_hash(self.fold(depth + 1, low, middle).hash, self.fold(depth + 1, middle, high).hash))
+        return Folded(2, self.scheme.inner_hash(self.fold(depth + 1, low, middle).hash, self.fold(depth + 1, middle, high).hash))
 
     def hash(self, depth: int, low: int, high: int) -> bytes:
         """The hash of a subtree, kept for the next proof."""
@@ -68,7 +66,7 @@ class Leaves:
                 found = self.fold(depth, low, high).hash
             else:
                 middle = self.split(low, high, depth)
-                found = inner_hash(self.hash(depth + 1, low, middle), self.hash(depth + 1, middle, high))
+                found = self.scheme.inner_hash(self.hash(depth + 1, low, middle), self.hash(depth + 1, middle, high))
             self._known[depth, low, high] = found
         return found
 
@@ -90,12 +88,12 @@ class Leaves:
 class Top:
     """The tree above the buckets. levels[d] has the 2^d nodes of depth d."""
 
-    def __init__(self, buckets: list[Folded]) -> None:
+    def __init__(self, buckets: list[Folded], scheme: Scheme = OWN) -> None:
         self.depth = len(buckets).bit_length() - 1
         levels = [buckets]
         while len(levels[-1]) > 1:
             below = levels[-1]
-            levels.append([join(below[i], below[i + 1]) for i in range(0, len(below), 2)])
+            levels.append([join(below[i], below[i + 1], scheme) for i in range(0, len(below), 2)])
         self.levels = levels[::-1]
 
     @property
@@ -117,10 +115,10 @@ class Top:
         return b"".join(bytes([f.count]) + f.hash for f in self.levels[-1])
 
     @classmethod
-    def decode(cls, data: bytes) -> Top:
+    def decode(cls, data: bytes, scheme: Scheme = OWN) -> Top:
         if not data or len(data) % 33 or (len(data) // 33) & (len(data) // 33 - 1):
             raise InvalidError("malformed bucket hashes")
-        return cls([Folded(data[i], data[i + 1 : i + 33]) for i in range(0, len(data), 33)])
+        return cls([Folded(data[i], data[i + 1 : i + 33]) for i in range(0, len(data), 33)], scheme)
 
 
 class Proof(NamedTuple):
@@ -147,21 +145,21 @@ class Proof(NamedTuple):
         return cls((data[1:33], data[33:65]) if data[0] else None, [body[i : i + 32] for i in range(0, len(body), 32)])
 
 
-def verify(root: bytes, path: bytes, proof: Proof) -> bytes | None:
+def verify(root: bytes, path: bytes, proof: Proof, scheme: Scheme = OWN) -> bytes | None:
     """The value hash that the proof establishes for the path, or None for absence. Fails if it establishes nothing."""
     n, bits = len(proof.siblings), int.from_bytes(path, "big")
     if n > BITS:
         raise InvalidError("the proof is too deep")
-    stated, now = None, PLACEHOLDER
+    stated, now = None, scheme.placeholder
     if proof.leaf:
         there, vh = proof.leaf
-        now = leaf_hash(there, vh)
+        now = scheme.leaf_hash(there, vh)
         if there == path:
             stated = vh
         elif BITS - (int.from_bytes(there, "big") ^ bits).bit_length() < n:
             raise InvalidError("the leaf does not cover the path")
     for i, sibling in enumerate(proof.siblings):
-        now = inner_hash(sibling, now) if bits >> (BITS - n + i) & 1 else inner_hash(now, sibling)
+        now = scheme.inner_hash(sibling, now) if bits >> (BITS - n + i) & 1 else scheme.inner_hash(now, sibling)
     if now != root:
         raise InvalidError("the proof does not match the root")
     return stated
@@ -179,12 +177,13 @@ def prove(path: bytes, top: Top, leaves_of) -> Proof:
 
 
 OLD, PUT, GONE = 0, 1, 2
+FOLDED = "bucket int, old_count int, old_hash binary, count int, hash binary, taken long, idle long"
 
 
-def fold_buckets(depth: int, before: list[tuple[bytes, bytes]], after: list[tuple[bytes, bytes]]):
+def fold_buckets(depth: int, before: list[tuple[bytes, bytes]], after: list[tuple[bytes, bytes]], scheme: Scheme):
     """For mapInArrow over (b, _path, _vh, kind) sorted by b: per bucket the capped count and hash of its old leaves, and of
-    those after the changes (kinds PUT and GONE); also how many puts met a path that is taken, by an old leaf or another
-    change. before, after: further leaves of either."""
+    those after the changes (kinds PUT and GONE); how many puts met a path that is taken, by an old leaf or another change;
+    and how many changes change nothing. before, after: further leaves of either."""
     more = [{}, {}]
     for side, leaves in zip(more, (before, after), strict=True):
         for leaf in leaves:
@@ -195,11 +194,15 @@ def fold_buckets(depth: int, before: list[tuple[bytes, bytes]], after: list[tupl
         now, old, changes, again = None, [], {}, 0
 
         def close() -> None:
-            kept = [x for x in old if x[0] not in changes] if changes else old
-            taken = again + sum(changes[p] is not None for p, _ in old if p in changes)
-            new = kept + [(p, v) for p, v in changes.items() if v is not None]
-            was = Leaves(old + more[0].get(now, [])).fold(depth)
-            out.append((now, *was, *(Leaves(new + more[1].get(now, [])).fold(depth)), taken))
+            was = Leaves(old + more[0].get(now, []), scheme).fold(depth)
+            if not changes and more[0].get(now) == more[1].get(now):
+                out.append((now, *was, *was, 0, 0))
+                return
+            known = dict(old)
+            taken = again + sum(v is not None and p in known for p, v in changes.items())
+            idle = sum(known.get(p) == v for p, v in changes.items())
+            new = [x for x in old if x[0] not in changes] + [(p, v) for p, v in changes.items() if v is not None]
+            out.append((now, *was, *Leaves(new + more[1].get(now, []), scheme).fold(depth), taken, idle))
 
         for batch in batches:
             for b, path, vh, kind in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -214,14 +217,11 @@ def fold_buckets(depth: int, before: list[tuple[bytes, bytes]], after: list[tupl
                     changes[path] = vh if kind == PUT else None
         if now is not None:
             close()
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], FOLDED)
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], [c.split()[0] for c in FOLDED.split(", ")])
 
     return run
 
 
-FOLDED = ["bucket", "old_count", "old_hash", "count", "hash", "taken"]
-
-
 def bucket_at(path: bytes, depth: int) -> int:
     return int.from_bytes(path[:4], "big") >> (32 - depth) if depth else 0

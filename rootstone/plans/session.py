@@ -2,7 +2,9 @@
 
 A statement becomes a delta (rows to put and to delete, by path), which is checked and added to the session's overlay; COMMIT
 writes the net delta of all tables as one version. Reads see the newest committed version, fixed per statement, under the
-overlay. Everything is DataFrames: constraints are joins and groupings, and Catalyst plans the queries.
+overlay. Everything is DataFrames: constraints are joins and groupings, and Catalyst plans the queries. A scan decodes the columns
+that a statement names, and skips files by the bounds that Catalyst pushes down to a table: by the bucket of a whole primary key,
+else by the ranges of column values in the authenticated manifests.
 """
 
 from __future__ import annotations
@@ -10,22 +12,34 @@ from __future__ import annotations
 import json
 import re
 import threading
-import uuid
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rootstone.errors import ConflictError, DuplicateKeyError, InvalidError, MissingError
-from rootstone.functions.commitments import CATALOG_PREFIX, HISTORY_KEY, bucket_of, committed, one_row_key, supported
+from rootstone.errors import ConflictError, CorruptedError, DuplicateKeyError, InvalidError, MissingError
+from rootstone.functions.commitments import BUCKET_BITS, CATALOG_PREFIX, bucket_of, committed, one_row_key, supported
+from rootstone.functions.local import from_arrow
 from rootstone.functions.merkle import Proof, verify
-from rootstone.operators.store import Store, Table
+from rootstone.operators.store import Store, Table, fail_closed
 
+from .bounds import pushed_down
 from .statements import BITS, CreateTable, Statement, parse
 
+#: Buckets by which files are left out for a whole primary key.
+POINT_BITS = 16
+
+
+def bucket_flags(path: bytes) -> np.ndarray:
+    out = np.zeros(1 << POINT_BITS, bool)
+    out[bucket_of(path) >> (BUCKET_BITS - POINT_BITS)] = True
+    return out
+
 
 @dataclass(frozen=True)
 class VerifiedRow:
@@ -89,35 +103,35 @@ class Database:
         table = self.store.table(name)
         kinds = [table.schema[c].dataType for c in table.primary]
         path = self.store.hasher.path(one_row_key(list(key), kinds, table.id))
-        proof = self.store._prove(path, None)
+        proof, _ = self.store._prove(path, None)
         root, version = self.store.root, self.store.version
-        vh = verify(root, path, proof)
+        vh = verify(root, path, proof, self.store.scheme)
         if vh is None:
             return VerifiedRow(None, path, None, proof, root, version)
-        near = self.store.rows(table, spark=self.store.pruning).where((F.col("_bucket") == bucket_of(path)) & (F.col("_path") == F.lit(path))).select(*table.schema.names)
-        again = committed(near, table.schema, table.primary, table.id, self.store.key).collect()
+        near = self.store.state(table, keep=bucket_flags(path), columns=[*table.schema.names, "_path"]).where(F.col("_path") == F.lit(path)).drop("_path")
+        again = fail_closed("a row cannot be read")(committed(near, table.schema, table.primary, table.id, self.store.key).collect)()
         if len(again) != 1 or bytes(again[0]._path) != path or bytes(again[0]._vh) != vh:
-            from rootstone.errors import CorruptedError
-
             raise CorruptedError("a row does not match its commitment")
         return VerifiedRow({c: again[0][c] for c in table.schema.names}, path, vh, proof, root, version)
 
-    @staticmethod
-    def verify(found: VerifiedRow, root: bytes) -> bool:
+    def verify(self, found: VerifiedRow, root: bytes) -> bool:
         try:
-            return verify(root, found.path, found.proof) == found.vh
+            return verify(root, found.path, found.proof, self.store.scheme) == found.vh
         except InvalidError:
             return False
 
 
 @dataclass(frozen=True)
 class Overlay:
-    """Staged deltas by table id, oldest first. Immutable, so a savepoint is a reference."""
+    """Staged deltas by table id, oldest first, and the buckets they touch. Immutable, so a savepoint is a reference."""
 
     deltas: dict[int, tuple[DataFrame, ...]] = field(default_factory=dict)
+    buckets: dict[int, frozenset[int]] = field(default_factory=dict)
 
-    def with_delta(self, table_id: int, delta: DataFrame) -> Overlay:
-        return Overlay(self.deltas | {table_id: (*self.deltas.get(table_id, ()), delta)})
+    def with_delta(self, table_id: int, delta: DataFrame, buckets: frozenset[int]) -> Overlay:
+        return Overlay(
+            self.deltas | {table_id: (*self.deltas.get(table_id, ()), delta)}, self.buckets | {table_id: self.buckets.get(table_id, frozenset()) | buckets}
+        )
 
     def net(self, table_id: int) -> DataFrame | None:
         """The last delta of each path."""
@@ -134,27 +148,48 @@ class Session:
 
     # reading
 
-    def _rows(self, table: Table, overlay: Overlay | None = None) -> DataFrame:
-        """Rows with hidden columns under the overlay."""
-        if self.verify == "full" and self.store.version not in self.store._verified:
-            self.store.verify_state()
-        elif self.verify == "root":
-            self.store.log.top(self.store.version)
-        kept = [*table.schema.names, "_path", "_vh", "_bucket"]
-        rows = self.store.rows(table).select(*kept)
+    def _rows(self, table: Table, overlay: Overlay | None = None, columns: list[str] | None = None, keep: np.ndarray | None = None, bounds: dict | None = None) -> DataFrame:
+        """Columns (null: all) and the hidden ones of rows under the overlay; keep and bounds as in Store.state."""
+        checked = self.store.check(self.verify, None, {table.id})
+        kept = [*(table.schema.names if columns is None else columns), "_path", "_vh", "_bucket"]
+        rows = self.store.state(table, columns=kept, keep=keep, bounds=bounds, checked=checked)
         net = (self.overlay if overlay is None else overlay).net(table.id)
         if net is None:
             return rows
         return rows.join(net.select("_path"), "_path", "left_anti").select(*kept).unionByName(net.where("not _deleted").select(*kept))
 
-    def _views(self, text: str) -> None:
-        """Temporary views of the tables that a statement names."""
+    def _named(self, text: str) -> dict[str, Table]:
         words = {w.lower() for w in re.findall(r"\w+", text)}
-        for name, table in self.store.tables().items():
-            if name.lower() in words:
-                self._rows(table).select(*table.schema.names).createOrReplaceTempView(name)
-        if "information_schema" in words:
-            self._information()
+        return {n: t for n, t in self.store.tables().items() if n.lower() in words}
+
+    def _views(self, text: str, bounds: dict[str, dict] | None = None) -> None:
+        """Temporary views of the tables that a statement names, with the columns that it can mean: those whose names it has, or all where it has a
+        star or a natural join."""
+        low = re.sub(r"count\s*\(\s*\*\s*\)", "", text.lower())
+        every = re.search(r"(select|distinct|all|,|\.)\s*\*|\bnatural\b", low)
+        for name, table in self._named(text).items():
+            columns = table.schema.names if every else [c for c in table.schema.names if c.lower() in low]
+            found = (bounds or {}).get(name, {})
+            keep = self._point(table, found)
+            rows = self._rows(table, columns=columns, keep=keep, bounds=found if keep is None else None)
+            rows.select(*columns).createOrReplaceTempView(name)
+
+    def _point(self, table: Table, bounds: dict[str, tuple]) -> np.ndarray | None:
+        """The buckets of a whole primary key, where one value of each of its columns is asked for."""
+        values = [bounds.get(c, (None, None)) for c in table.primary]
+        if any(a is None or a != b for a, b in values) or any(isinstance(table.schema[c].dataType, (T.TimestampNTZType, T.FloatType, T.DoubleType)) for c in table.primary):
+            return None
+        return bucket_flags(self.store.hasher.path(one_row_key([a for a, _ in values], [table.schema[c].dataType for c in table.primary], table.id)))
+
+    def _bounds(self, text: str) -> dict[str, dict]:
+        """Of each table that a query names once, the ranges of columns that Catalyst pushes down to it."""
+        if not re.search(r"\bwhere\b|\bon\b", text, re.I):
+            return {}
+        named = self._named(text)
+        for name, table in named.items():
+            marked = T.StructType([*[T.StructField(f.name, f.dataType) for f in table.schema], T.StructField(f"_table_{name}", T.BooleanType())])
+            self.spark.createDataFrame(self.spark.sparkContext.emptyRDD(), marked).drop(f"_table_{name}").createOrReplaceTempView(name)
+        return pushed_down(self.spark.sql(text))
 
     def _information(self) -> None:
         tables = self.store.tables()
@@ -175,12 +210,16 @@ class Session:
         """Runs one statement. Queries give rows, of the state that is newest now; changes give the number of rows they concern."""
         statement = parse(text)
         with self.db.lock:  # views are replaced per statement; a query's plan is fixed when this returns
-            return getattr(self, f"_{statement.kind}")(**statement.parts)
+            run = getattr(self, f"_{statement.kind}")
+            return run(**statement.parts) if statement.kind == "query" else fail_closed("a statement failed")(run)(**statement.parts)
 
     def _query(self, text: str) -> DataFrame:
         self._gone(text)
-        self._views(text)
-        return self.spark.sql(re.sub(r"\binformation_schema\.(tables|columns|statistics)\b", r"information_schema_\1", text, flags=re.I))
+        text = re.sub(r"\binformation_schema\.(tables|columns|statistics)\b", r"information_schema_\1", text, flags=re.I)
+        if "information_schema" in text.lower():
+            self._information()
+        self._views(text, self._bounds(text))
+        return self.spark.sql(text)
 
     def _gone(self, text: str) -> None:
         """Drops views of tables that no longer exist."""
@@ -249,8 +288,8 @@ class Session:
                     raise ConflictError("a table was dropped meanwhile")
                 net, table = overlay.net(table_id), tables[table_id]
                 if moved:
-                    now = self.store._live(table).select(F.col("_path").alias("_p"), F.col("_vh").alias("_now"))
-                    other = net.join(now, F.col("_path") == F.col("_p"), "left").where(~F.col("_base").eqNullSafe(F.col("_now")))
+                    other = self._with_base(net.drop("_base"), table, overlay.buckets[table_id], "_now").join(net.select(F.col("_path").alias("_q"), "_base"), F.col("_path") == F.col("_q"))
+                    other = other.where(~F.col("_base").eqNullSafe(F.col("_now")))
                     if other.limit(1).count():
                         raise ConflictError("a row was changed by another transaction")
                     try:
@@ -320,7 +359,7 @@ class Session:
         if name in (own.indexes or {}):
             raise InvalidError(f"there is an index {name}")
         columns = [names[c.lower()] for c in columns]
-        if unique and self._repeated(self._rows(own), columns).limit(1).count():
+        if unique and self._repeated(self._rows(own, columns=columns), columns).limit(1).count():
             raise DuplicateKeyError(f"rows of {table} share {', '.join(columns)}")
         self._with_table(replace(own, indexes=(own.indexes or {}) | {name: {"columns": columns, "unique": unique}}))
         return self._counted(0)
@@ -363,45 +402,46 @@ class Session:
         for name, index in (table.indexes or {}).items():
             if index["unique"]:
                 touched = delta.where("not _deleted").select(*index["columns"]).distinct()
-                after = self._rows(table, overlay).join(touched, index["columns"], "left_semi")
+                after = self._rows(table, overlay, columns=index["columns"]).join(touched, index["columns"], "left_semi")
                 if self._repeated(after, index["columns"]).limit(1).count():
                     raise DuplicateKeyError(f"a value of the unique index {name} is taken")
 
-    def _apply(self, table: Table, delta: DataFrame, new_keys: DataFrame | None) -> DataFrame:
+    def _with_base(self, delta: DataFrame, table: Table, buckets: frozenset[int], name: str) -> DataFrame:
+        """delta with the committed value hash of each path; only the buckets that it touches are read."""
+        now = self.store.state(table, columns=["_path", "_vh"], keep=self.store._flags(buckets, self.store.manifest.depth)).toDF("_p", name)
+        return delta.join(now, F.col("_path") == F.col("_p"), "left").drop("_p")
+
+    def _apply(self, table: Table, delta: DataFrame, new_keys: bool) -> DataFrame:
         """Checks a statement's delta and adds it to the overlay; without an open transaction, commits it. A statement that
-        fails leaves nothing."""
+        fails leaves nothing. new_keys: puts may take paths that were free before."""
         if not self.open and self.autocommit or (not self.open and not self.overlay.deltas):
             self.base = self.store.version
-        now = self.store._live(table).select(F.col("_path").alias("_p"), F.col("_vh").alias("_now"))
-        before = self.overlay.net(table.id)
-        based = delta.join(now, F.col("_path") == F.col("_p"), "left").drop("_p")
-        if before is not None:
-            held = before.select(F.col("_path").alias("_q"), F.col("_base").alias("_held"), F.lit(True).alias("_known"))
-            based = based.join(held, F.col("_path") == F.col("_q"), "left").withColumn("_base", F.when(F.col("_known"), F.col("_held")).otherwise(F.col("_now"))).drop("_q", "_held", "_known")
-        else:
-            based = based.withColumn("_base", F.col("_now"))
-        names = [*table.schema.names, "_path", "_vh", "_bucket", "_deleted", "_base"]
-        folder = f"{self.store.path}/_txn/{uuid.uuid4().hex}"
-        written = self.store.sealed(based.select(*names), table)
-        written.write.parquet(folder)
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in written.schema])
-        staged = self.store.unsealed(self.store.spark.read.schema(schema).parquet(folder), table).select(*names)
-        if new_keys is not None:
+        names = [*table.schema.names, "_path", "_vh", "_bucket", "_deleted"]
+        staged = self.store.stage(delta.select(*names), table)
+        shift = BUCKET_BITS - self.store.manifest.depth
+        buckets = frozenset(r[0] for r in staged.select(F.shiftright("_bucket", shift)).distinct().collect())
+        if new_keys:
             again = staged.where("not _deleted").groupBy("_path").count().where("count > 1").select("_path")
-            leaving = staged.where("_deleted").select("_path")
-            taken = self._rows(table).select("_path").join(leaving, "_path", "left_anti").join(staged.where("not _deleted").join(new_keys, "_path", "left_semi").select("_path"), "_path", "left_semi")
+            puts, leaving = staged.where("not _deleted").select("_path"), staged.where("_deleted").select("_path")
+            there = self._rows(table, columns=[], keep=self.store._flags(buckets, self.store.manifest.depth))
+            taken = there.select("_path").join(leaving, "_path", "left_anti").join(puts, "_path", "left_semi")
             if again.unionByName(taken).limit(1).count():
                 raise DuplicateKeyError(f"a primary key of {table.name} is taken")
             # a path that one row leaves and another takes is put, not deleted
-            put = staged.where("not _deleted").select("_path")
-            staged = staged.where("not _deleted").unionByName(staged.where("_deleted").join(put, "_path", "left_anti").select(*names))
-        after = self.overlay.with_delta(table.id, staged)
+            staged = staged.where("not _deleted").unionByName(staged.where("_deleted").join(puts, "_path", "left_anti").select(*names))
+        based = self._with_base(staged, table, buckets, "_base")
+        before = self.overlay.net(table.id)
+        if before is not None:
+            held = before.select(F.col("_path").alias("_q"), F.col("_base").alias("_held"), F.lit(True).alias("_known"))
+            based = based.join(held, F.col("_path") == F.col("_q"), "left").withColumn("_base", F.when(F.col("_known"), F.col("_held")).otherwise(F.col("_base"))).drop("_q", "_held", "_known")
+        based = based.select(*names, "_base")
+        after = self.overlay.with_delta(table.id, based, buckets)
         self._unique(table, after, staged)
         n = staged.where("not _deleted").count() or staged.count()
         if self.open or not self.autocommit:
             self.overlay = after
         else:
-            self._publish(Overlay({table.id: (staged,)}))
+            self._publish(Overlay().with_delta(table.id, based, buckets))
         return self._counted(n)
 
     def _writable(self, name: str) -> Table:
@@ -439,40 +479,52 @@ class Session:
             raise InvalidError("the numbers of columns and values differ")
         rows = rows.toDF(*[f"_{i}" for i in range(len(wanted))])
         given = {c: F.col(f"_{i}") for i, c in enumerate(wanted)}
-        if own.auto:
-            rows, given = self._numbered(own, rows, given)
         picked = rows.select(*[self._checked(own, given.get(f.name, F.lit(None)), f.name, f.dataType).alias(f.name) for f in own.schema])
+        if own.auto:
+            picked = self._numbered(own, picked)
         put = committed(picked, own.schema, own.primary, own.id, self.store.key).withColumn("_deleted", F.lit(False))
-        return self._apply(own, put, put.select("_path"))
+        return self._apply(own, put, True)
 
-    def _numbered(self, table: Table, rows: DataFrame, given: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
-        """Allocates numbers to rows whose key is null or 0, in input order; larger explicit numbers move the counter."""
+    def _numbered(self, table: Table, rows: DataFrame) -> DataFrame:
+        """Allocates numbers to rows whose key is null or 0, in input order; larger explicit numbers move the counter. The rows are written once with
+        their partition and place, which fixes both. Each partition gives its number of open rows and the highest start that its
+        explicit numbers demand; prefix sums of these, on the driver, number the rows of each partition by itself."""
         start = max(table.next_auto, self.db.next_auto.get(table.id, 1))
-        asked = given.get(table.auto)
-        number = F.lit(None).cast("decimal(20,0)") if asked is None else asked.cast("decimal(20,0)")
-        rows = rows.withColumn("_order", F.monotonically_increasing_id()).withColumn("_explicit", F.when(number != 0, number)).persist()
-        try:
-            explicit = asked is not None and rows.where("_explicit is not null").limit(1).count()
-            if explicit:
-                so_far = Window.orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
-                counted = rows.withColumn("_nulls", F.sum(F.col("_explicit").isNull().cast("long")).over(so_far))
-                first = F.max(F.col("_explicit") + 1 - F.col("_nulls")).over(so_far)
-                allocated = F.greatest(F.lit(start).cast("decimal(21,0)"), F.coalesce(first, F.lit(start).cast("decimal(21,0)"))) + F.col("_nulls") - 1
-                numbered = counted.withColumn("_number", F.coalesce("_explicit", allocated).cast("decimal(20,0)"))
-            else:  # counts per partition, then places within it: nothing is gathered in one task
-                sizes = dict(rows.groupBy(F.shiftright("_order", 33).alias("p")).count().collect())
-                firsts, total = {}, start
-                for p in sorted(sizes):
-                    firsts[p], total = total, total + sizes[p]
-                offsets = F.create_map(*[F.lit(x) for p, first in firsts.items() for x in (p, first)]) if firsts else F.create_map(F.lit(0).cast("long"), F.lit(start))
-                place = F.col("_order").bitwiseAND(F.lit((1 << 33) - 1))
-                numbered = rows.withColumn("_number", (F.element_at(offsets, F.shiftright("_order", 33)) + place).cast("decimal(20,0)"))
-            top = numbered.agg(F.max("_number")).first()[0]
-            self.db.next_auto[table.id] = max(start, int(top) + 1 if top is not None else start)
-            fixed = self.store.spark.createDataFrame(numbered.toArrow()) if numbered.count() <= 10_000 else numbered
-        finally:
-            rows.unpersist()
-        return fixed, given | {table.auto: F.col("_number")}
+        kind, number = table.schema[table.auto].dataType, F.col(table.auto).cast("decimal(21,0)")
+        placed = rows.withColumn("_part", F.spark_partition_id()).withColumn("_order", F.monotonically_increasing_id())
+        staged = self.store.stage(placed.withColumn("_path", F.unhex(F.hex("_order"))), table)
+        if hasattr(staged, "_held"):
+            return self._numbered_here(table, staged._held, start)
+        fixed = staged.drop("_path").withColumn("_given", F.when(number != 0, number))
+        so_far = Window.partitionBy("_part").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+        opened = F.coalesce(F.sum(F.col("_given").isNull().cast("long")).over(so_far), F.lit(0))
+        counted = fixed.withColumn("_before", opened).withColumn("_demand", F.col("_given") + 1 - F.col("_before"))
+        counted = counted.withColumn("_least", F.max("_demand").over(so_far))
+        facts = counted.groupBy("_part").agg(F.count(F.when(F.col("_given").isNull(), 1)).alias("n"), F.max("_demand").alias("m"), F.max("_given").alias("top")).collect()
+        offsets, first, total, top = {}, start, 0, start - 1  # one entry a partition
+        for r in sorted(facts, key=lambda r: r._part):
+            offsets[r._part] = (total, first)
+            first = max(first, int(r.m) - total) if r.m is not None else first
+            total += r.n
+            top = max(top, int(r.top) if r.top is not None else 0)
+        known = self.spark.createDataFrame([(p, n, Decimal(f)) for p, (n, f) in offsets.items()], "_p int, _offset long, _first decimal(21,0)")
+        joined = counted.join(F.broadcast(known), F.col("_part") == F.col("_p"))
+        least = F.greatest(F.col("_first"), F.coalesce(F.col("_least") - F.col("_offset"), F.col("_first")))
+        allocated = F.coalesce(F.col("_given"), least + F.col("_offset") + F.col("_before")).cast("decimal(21,0)")
+        self.db.next_auto[table.id] = max(start, top + 1, first + total if total else start)
+        return joined.select(*[(allocated.cast(kind) if c == table.auto else F.col(c)).alias(c) for c in table.schema.names])
+
+    def _numbered_here(self, table: Table, rows: pa.Table, start: int) -> DataFrame:
+        """The same of few rows, on the driver."""
+        rows, numbers, following = rows.sort_by("_order"), [], start
+        for given in rows.column(table.auto).to_pylist():
+            numbers.append(int(given) if given else following)
+            following = max(following, numbers[-1] + 1)
+        self.db.next_auto[table.id] = following
+        at, out = rows.schema.get_field_index(table.auto), rows.select(table.schema.names)
+        made = pa.array([Decimal(n) for n in numbers] if pa.types.is_decimal(rows.schema[at].type) else numbers, rows.schema[at].type)
+        out = out.set_column(table.schema.names.index(table.auto), table.auto, made)
+        return from_arrow(self.spark, out.to_batches(), table.schema)
 
     def _update(self, table: str, set: list[tuple[str, str]], where: str | None) -> DataFrame:  # noqa: A002
         own = self._writable(table)
@@ -480,7 +532,7 @@ class Session:
         if missing := [c for c, _ in set if c.lower() not in names]:
             raise MissingError(f"{table} has no column {missing[0]}")
         self._views(" ".join([w for _, w in set] + [where or ""]))
-        self._rows(own).createOrReplaceTempView("_rows_of_update")
+        self._hit(own, where).createOrReplaceTempView("_rows_of_update")
         exprs = ", ".join(f"({e}) AS `_set_{i}`" for i, (_, e) in enumerate(set))
         hit = self.spark.sql(f"SELECT `{own.name}`.*, {exprs} FROM _rows_of_update AS `{own.name}`" + (f" WHERE {where}" if where else ""))
         new = {names[c.lower()]: F.col(f"_set_{i}") for i, (c, _) in enumerate(set)}
@@ -488,16 +540,21 @@ class Session:
         picked = hit.select(*[(self._checked(own, new[f.name], f.name, f.dataType) if f.name in new else F.col(f.name)).alias(f.name) for f in own.schema])
         put = committed(picked, own.schema, own.primary, own.id, self.store.key).withColumn("_deleted", F.lit(False))
         if not {c.lower() for c in own.primary} & {c.lower() for c, _ in set}:
-            return self._apply(own, put, None)
-        moved = put.join(gone.select("_path"), "_path", "left_anti").select("_path")
-        return self._apply(own, gone.unionByName(put), moved)
+            return self._apply(own, put, False)
+        return self._apply(own, gone.unionByName(put), True)
+
+    def _hit(self, table: Table, where: str | None) -> DataFrame:
+        """Rows among which are all that a condition meets."""
+        bounds = self._bounds(f"SELECT 1 FROM `{table.name}` WHERE {where}").get(table.name, {}) if where else {}
+        keep = self._point(table, bounds)
+        return self._rows(table, keep=keep, bounds=bounds if keep is None else None)
 
     def _delete(self, table: str, where: str | None) -> DataFrame:
         own = self._writable(table)
         self._views(where or "")
-        self._rows(own).createOrReplaceTempView("_rows_of_delete")
+        self._hit(own, where).createOrReplaceTempView("_rows_of_delete")
         hit = self.spark.sql(f"SELECT `{own.name}`.* FROM _rows_of_delete AS `{own.name}`" + (f" WHERE {where}" if where else ""))
-        return self._apply(own, hit.withColumn("_deleted", F.lit(True)), None)
+        return self._apply(own, hit.withColumn("_deleted", F.lit(True)), False)
 
 
-__all__ = ["HISTORY_KEY", "Database", "Overlay", "Session", "Statement", "VerifiedRow"]
+__all__ = ["Database", "Overlay", "Session", "Statement", "VerifiedRow"]

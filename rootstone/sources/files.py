@@ -13,8 +13,10 @@ ABANDONED_S = 600
 
 
 class Folder:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    """durable: written files are synced to storage before they are published."""
+
+    def __init__(self, spark: SparkSession, path: str, durable: bool = True) -> None:
+        self.spark, self.path, self.durable = spark, path.rstrip("/"), durable
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._fs = self._at("").getFileSystem(self._conf)
 
@@ -41,9 +43,11 @@ class Folder:
 
     def replace(self, name: str, data: bytes) -> None:
         aside, target = self._at(f"{name}.part"), self._at(name)
+        self._fs.mkdirs(target.getParent())
         out = self._fs.create(aside, True)
         out.write(data)
-        out.hsync() if hasattr(out, "hsync") else None
+        if self.durable:
+            out.hsync()
         out.close()
         if self._fs.exists(target):
             self._fs.delete(target, False)
@@ -60,6 +64,12 @@ class Folder:
         finally:
             stream.close()
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def is_folder(self, name: str) -> bool:
+        return self._fs.getFileStatus(self._at(name)).isDirectory()
+
     def names(self, folder: str) -> list[str]:
         at = self._at(folder)
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []

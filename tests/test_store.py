@@ -1,13 +1,15 @@
-"""The store: the scenarios of the blueprint's fixtures, through Spark."""
+"""The store through Spark."""
 
 import glob
 import os
 
 import pytest
-from test_merkle import KEY, PROOFS, ROOTS, STEPS
+from pyspark.errors import PySparkException
+from test_merkle import KEY, PROOFS, ROOTS, STEPS, stated_scheme
 
 from rootstone.errors import BackendError, ConflictError, CorruptedError, InvalidError, LedgerError, MissingError
-from rootstone.functions.commitments import HISTORY_KEY, PLACEHOLDER, chain_link
+from rootstone.functions.commitments import OWN
+from rootstone.functions.local import LOCAL
 from rootstone.functions.merkle import Proof, verify
 from rootstone.operators.store import KV, Op, Store, delete, put
 from rootstone.plans.session import Database
@@ -16,6 +18,12 @@ from rootstone.streaming.feeds import change_stream, changes_between, sink
 SEAL = bytes(range(0xA0, 0xC0))
 
 
+@pytest.fixture
+def spread(monkeypatch):
+    """Jobs run however few the rows are."""
+    monkeypatch.setitem(LOCAL, "bytes", -1)
+
+
 def create(spark, tmp_path, name="s", **more):
     return Store.create(spark, str(tmp_path / name), KEY, **({"depth": 2} | more))
 
@@ -26,8 +34,9 @@ def contents(store, version=None):
 
 @pytest.mark.parametrize("more", [{}, {"storage_key": SEAL, "depth": 5}])
 def test_vectors(spark, tmp_path, more):
-    s = create(spark, tmp_path, **more)
-    assert (s.root, s.version) == (PLACEHOLDER, 0) and s.get(b"alice") is None
+    scheme = stated_scheme()
+    s = create(spark, tmp_path, scheme=scheme, **more)
+    assert (s.root, s.version) == (scheme.placeholder, 0) and s.get(b"alice") is None
     for i, (step, root) in enumerate(zip(STEPS, ROOTS, strict=True), 1):
         got, version = s.put_batch([Op(k, v) for k, v in step])
         assert (got.hex(), version) == (root, i)
@@ -47,7 +56,9 @@ def test_vectors(spark, tmp_path, more):
         files = [f for f in glob.glob(str(tmp_path / "s/data/0/*/*.parquet"))]
         assert files and not any(b"value-0" in open(f, "rb").read() for f in files)
         with pytest.raises(InvalidError):
-            Store.open_latest(spark, s.path, KEY)
+            Store.open_latest(spark, s.path, KEY, scheme=scheme)
+    with pytest.raises(CorruptedError):
+        Store.open_latest(spark, s.path, KEY, more.get("storage_key"))  # under another scheme
 
 
 def test_batches(spark, tmp_path):
@@ -58,12 +69,12 @@ def test_batches(spark, tmp_path):
     assert s.put_batch([put(b"k", b"b"), delete(b"absent")]) == (root, 1)
     assert s.preview_batch([put(b"x", b"1")]) == s.put_batch([put(b"x", b"1")])[0]
     s.put_batch([delete(b"k"), delete(b"x")])
-    assert s.root == PLACEHOLDER
+    assert s.root == OWN.placeholder
     rows = spark.createDataFrame([(bytearray(b"a"), bytearray(b"1"), 1, "put"), (bytearray(b"a"), None, 3, "delete"), (bytearray(b"a"), bytearray(b"2"), 2, "put"), (bytearray(b"b"), bytearray(b""), 1, "put")], "key binary, value binary, seq long, op string")
     s.put_batch(rows)
     assert contents(s) == {b"b": b""}
     with pytest.raises(InvalidError):
-        s.put_batch([put(HISTORY_KEY, b"x")])
+        s.put_batch([put(OWN.history_key, b"x")])
     with pytest.raises(InvalidError):
         s.root_at(99)
 
@@ -116,7 +127,7 @@ def test_every_flipped_bit_is_an_error_or_harmless(spark, tmp_path):
             try:
                 now = contents(Store.open_at(spark, s.path, KEY, s.root, 1))
                 assert now == pairs
-            except (LedgerError, BackendError):
+            except (LedgerError, BackendError, PySparkException):
                 wrong += 1
         open(name, "wb").write(raw)
         if os.path.exists(crc + ".aside"):
@@ -125,16 +136,58 @@ def test_every_flipped_bit_is_an_error_or_harmless(spark, tmp_path):
     assert contents(Store.open_at(spark, s.path, KEY, s.root, 1)) == pairs
 
 
-def test_lost_rows_are_noticed(spark, tmp_path):
+def uncheck(path):
+    """Without the file system's own check sums."""
+    aside = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.crc")
+    os.path.exists(aside) and os.remove(aside)
+
+
+def test_every_read_notices_what_storage_did_since(spark, tmp_path, spread):
     s = create(spark, tmp_path)
-    s.put_batch([put(b"key%d" % i, b"v") for i in range(20)])
-    folder = s.log.layout(1)[1]["0"][0]
-    kept = spark.read.parquet(f"{s.path}/{folder}").where("key <> X'6b657931'").collect()
-    spark.createDataFrame(kept, s._stored(__import__("rootstone.operators.store", fromlist=["PLAIN"]).PLAIN)).write.mode("overwrite").parquet(f"{s.path}/{folder}")
-    spark.catalog.clearCache()
-    for bad in (lambda: s.snapshot(), lambda: s.get(b"key1")):
-        with pytest.raises(CorruptedError):
-            bad()
+    s.put_batch([put(b"key%d" % i, b"value") for i in range(20)])
+    assert len(contents(s)) == 20  # a full read, after which storage changes
+    files = [f"{s.path}/{f.name}" for f in s.manifest.files["0"]]
+    raw = [open(f, "rb").read() for f in files]
+    later = lambda: s.snapshot().count(), lambda: contents(s), lambda: s.get(b"key1"), lambda: s.prove(b"key1"), lambda: s.put_batch([put(b"key%d" % i, b"w") for i in range(9)])
+    for forge in (lambda b: b.replace(b"value", b"forged"[:5]), lambda b: b[:-1] + b"?", None):
+        for f, b in zip(files, raw, strict=True):
+            open(f, "wb").write(forge(b)) if forge else os.remove(f)
+            uncheck(f)
+        for read in later:
+            with pytest.raises((LedgerError, PySparkException)):
+                read()
+        for f, b in zip(files, raw, strict=True):
+            open(f, "wb").write(b)
+    assert len(contents(s)) == 20 and s.version == 1
+
+
+def test_buckets_that_were_derived_are_carried_forward(spark, tmp_path, monkeypatch):
+    s, folded = create(spark, tmp_path, depth=6), []
+    s.put_batch([put(b"key%d" % i, b"value") for i in range(200)])
+    original = Store.leaves
+    monkeypatch.setattr(Store, "leaves", lambda self, m, keep=None, anew=None: (folded.append(64 if keep is None else int(keep.sum())), original(self, m, keep, anew))[1])
+    s.snapshot()
+    s.put_batch([put(b"key7", b"other")])
+    s.put_batch([delete(b"key9")])
+    s.snapshot()
+    s.snapshot()
+    assert folded == [64, 1, 1, 2]  # a whole state; two commits; the two buckets that they touched
+
+
+def test_lost_versions_are_noticed(spark, tmp_path):
+    s = create(spark, tmp_path)
+    for i in range(9):
+        s.put_batch([put(b"k%d" % i, b"v")])
+    assert s.log.runs_there() == [(0, 8)]
+    for name in ("_runs", "_log"):
+        os.rename(f"{s.path}/{name}", f"{s.path}/{name}.aside")
+        os.mkdir(f"{s.path}/{name}")
+        if name == "_log":
+            for f in os.listdir(f"{s.path}/_log.aside"):
+                if not f.startswith(f"{3:020d}"):
+                    os.rename(f"{s.path}/_log.aside/{f}", f"{s.path}/_log/{f}")
+    with pytest.raises(LedgerError):
+        contents(Store.open_latest(spark, s.path, KEY))
 
 
 def test_history_prune_and_pin(spark, tmp_path):
@@ -182,6 +235,15 @@ def test_export_and_restore(spark, tmp_path):
     t.verify_history(2, s.head_at(2))
     with pytest.raises(InvalidError):
         t.restore_leaves([(b"short", b"v")])
+    path = t.hasher.path(b"twice")
+    pairs = [(bytearray(path), bytearray(b"old"), 1), (bytearray(path), bytearray(b"new"), 2)]
+    with pytest.raises(InvalidError):
+        t.restore_leaves(spark.createDataFrame([p[:2] for p in pairs], "path binary, value binary"))
+    t.restore_leaves(spark.createDataFrame(pairs * 3, "path binary, value binary, seq int"))
+    assert t.get(b"twice") == b"new"
+    t.restore_leaves([(path, b"x"), (path, b"last")])
+    assert t.get(b"twice") == b"last"
+    assert [bytes(r.key) for r in s.scan(b"k05", b"k08").collect()] == [b"k05", b"k06", b"k07"] and s.scan_prefix(b"k1").count() == 10
 
 
 def test_fork(spark, tmp_path):
@@ -206,19 +268,26 @@ def test_chain(spark, tmp_path):
     assert heads == [bytes(32)]
     for i in range(1, 5):
         s.put_batch([put(b"k", b"%d" % i)])
-        assert s.head == chain_link(heads[-1], roots[-1], i)
+        assert s.head == OWN.chain_link(heads[-1], roots[-1], i)
         roots.append(s.root)
         heads.append(s.head)
     s.put_batch([put(b"k", b"4")])
-    assert s.version == 4 and s.head_at(2) == heads[2] and s.get(HISTORY_KEY) == heads[4]
+    assert s.version == 4 and s.head_at(2) == heads[2] and s.get(OWN.history_key) == heads[4]
     for v in (0, 2, 4):
         s.verify_history(v, heads[v])
     with pytest.raises(CorruptedError):
         s.verify_history(2, heads[1])
-    s.log._known[2].root = "11" * 32
+    s.put_batch([put(b"k", b"5")])
+    s.stamp_version(9)
+    name = f"{s.path}/_log/{2:020d}.json"
+    raw = open(name, "rb").read()
+    open(name, "wb").write(raw.replace(roots[2].hex().encode(), b"11" * 32))
+    uncheck(name)
     with pytest.raises(CorruptedError):
         s.verify_history()
-    again = Store.open_latest(spark, s.path, KEY)
+    open(name, "wb").write(raw)
+    s = Store.open_at(spark, s.path, KEY, roots[4], 4)
+    again = s
     again.prune(3)
     with pytest.raises(MissingError):
         again.verify_history()
@@ -246,6 +315,10 @@ def test_bases_keep_states(spark, tmp_path):
         if i == 1:
             s.write_base()
     assert contents(s) == {b"k": b"3", b"k0": b"0", b"k1": b"1", b"k2": b"2", b"k3": b"3"}
+    for i in range(4, 12):
+        s.put_batch([put(b"k%d" % i, b"%d" % i), put(b"k", b"%d" % i), delete(b"k%d" % (i - 4))])
+    assert contents(s) == {b"k": b"11"} | {b"k%d" % i: b"%d" % i for i in range(8, 12)}
+    assert len(s.log.runs(12)) <= 8 and len(contents(s, 11)) == 5
     assert contents(s, 1) == {b"k": b"0", b"k0": b"0"} and contents(s, 2) == {b"k": b"1", b"k0": b"0", b"k1": b"1"}
 
 
@@ -263,30 +336,14 @@ def test_streams(spark, tmp_path):
     assert s.version == 2 and contents(s) == {b"b": b"2"}
     sink(s, "q")(spark.createDataFrame([(bytearray(b"z"), bytearray(b"9"), 1, "put")], schema), 1)
     assert s.version == 2
+    for n in range(3):
+        sink(s, "other")(spark.createDataFrame([(bytearray(b"other"), bytearray(b"%d" % n), 1, "put")], schema), n)
+    sink(s, "q")(spark.createDataFrame([(bytearray(b"z"), bytearray(b"9"), 1, "put")], schema), 0)
+    assert s.manifest.streams == {"q": 1, "other": 2} and s.get(b"z") is None
     out = change_stream(s).writeStream.format("memory").queryName("feed").start()
     out.processAllAvailable()
     out.stop()
-    assert sorted((bytes(r.key), r.version, r.deleted) for r in s.spark.table("feed").collect()) == [(b"a", 1, False), (b"a", 2, True), (b"b", 2, False)]
-
-
-def test_tampered_table_data_fails_closed(spark, tmp_path):
-    db = Database(create(spark, tmp_path))
-    s = db.session()
-    s.sql("CREATE TABLE t (id BIGINT PRIMARY KEY, v VARCHAR(20))")
-    s.sql("INSERT INTO t VALUES (1, 'abcdefgh'), (2, 'ijklmnop')")
-    files = [f for f in glob.glob(f"{db.store.path}/data/1/*/*.parquet") if b"abcdefgh" in open(f, "rb").read()]
-    for f in files:
-        raw = open(f, "rb").read()
-        open(f, "wb").write(raw.replace(b"abcdefgh", b"abcdefgx"))
-        crc = os.path.join(os.path.dirname(f), f".{os.path.basename(f)}.crc")
-        os.path.exists(crc) and os.remove(crc)
-    assert files
-    db.store._verified.clear()
-    with pytest.raises(CorruptedError):
-        s.sql("SELECT * FROM t").collect()
-    with pytest.raises(CorruptedError):
-        s.sql("INSERT INTO t VALUES " + ", ".join(f"({i}, 'x')" for i in range(3, 20)))
-    assert Database(Store.open_latest(spark, db.store.path, KEY)).session(verify="off").sql("SELECT COUNT(*) AS n FROM t").first().n == 2
+    assert sorted((bytes(r.key), r.version, r.deleted) for r in s.spark.table("feed").collect()) == [(b"a", 1, False), (b"a", 2, True), (b"b", 2, False), *[(b"other", v, False) for v in (3, 4, 5)]]
 
 
 def test_schema_of_plain_keys():
