@@ -522,7 +522,13 @@ class Store:
         """The written changes without those that change nothing."""
         names = self._stored(table).names
         changes = self._as_stored(table, files)
-        now = self.state(table, columns=["_path", "_vh"], keep=self._flags(touched, self.manifest.depth)).toDF("_p", "_now")
+        now = self.state(table, columns=["_path", "_vh"], keep=self._flags(touched, self.manifest.depth))
+        if hasattr(changes, "_held") and hasattr(now, "_held"):
+            known = dict(zip(*[now._held.column(c).to_pylist() for c in ("_path", "_vh")], strict=True))
+            rows = zip(*[changes._held.column(c).to_pylist() for c in ("_path", "_vh", "_deleted")], strict=True)
+            kept = changes._held.filter(pa.array([known.get(p) != (None if gone else vh) for p, vh, gone in rows], pa.bool_()))
+            return from_arrow(self.spark, kept.to_batches(), changes.schema)
+        now = now.toDF("_p", "_now")
         joined = changes.join(now, F.col("_path") == F.col("_p"), "left")
         differs = F.when(F.col("_deleted"), F.col("_now").isNotNull()).otherwise(F.col("_now").isNull() | (F.col("_now") != F.col("_vh")))
         return joined.where(differs).select(*names)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 from rootstone.errors import BackendError
@@ -17,11 +18,11 @@ class Folder:
 
     def __init__(self, spark: SparkSession, path: str, durable: bool = True) -> None:
         self.spark, self.path, self.durable = spark, path.rstrip("/"), durable
-        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        self._fs = self._at("").getFileSystem(self._conf)
+        self._path, self._bytes = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.commons.io.IOUtils.toByteArray
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return self._path(f"{self.path}/{name}" if name else self.path)
 
     def create(self, name: str, data: bytes) -> bool:
         """Writes a new file whole; False if the name is taken. The content is written aside and then renamed, so no reader
@@ -55,12 +56,14 @@ class Folder:
             raise BackendError(f"cannot publish {name}")
 
     def read(self, name: str) -> bytes:
-        path = self._at(name)
-        if not self._fs.exists(path):
-            raise BackendError(f"{self.path}/{name} is missing")
-        stream = self._fs.open(path)
         try:
-            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            stream = self._fs.open(self._at(name))
+        except Py4JJavaError as e:
+            raise BackendError(f"{self.path}/{name} is missing") from e
+        try:
+            return bytes(self._bytes(stream))
+        except Py4JJavaError as e:
+            raise BackendError(f"{self.path}/{name} cannot be read: {str(e.java_exception)[:200]}") from e
         finally:
             stream.close()
 
