@@ -3,13 +3,14 @@
 Every document wants target / source size copies. The whole part is taken; fractions meet in pairs, which randomly pass mass
 to each other until one of them is 0 or 1. Groups of similar documents are rounded side by side and leave one fraction at
 most; fractions left over meet in the next level's groups, a reduction tree that ends with one fraction per source, which
-a last draw rounds. Sums of copies are kept throughout, and partners are of similar size, so words come near the targets; of several draws of a group the nearest stays.
+a last draw rounds. Sums of copies are kept throughout, and each document is taken with its own probability. Partners follow each other by
+size, so that mass passes between documents of similar size and words come near the targets.
 
 Semantics. A size is the number of words (ASCII white space separates them); null texts have 0. Sources are ranked by
 code point, null last, and weigh as `weights` repeating; they share the sum of all sizes. No target exceeds `cap` times its
 source's size; what is above goes to the other sources by weight until none is above. Documents equal in id, source and size are
 one unit: all its rows get the same number of copies. Null ids are values like others. Draws depend on ids, sizes and
-`seed` only, so reruns agree. Empty tables give empty results; other columns are not read.
+`seed` only, so reruns agree. Empty tables give empty results; other columns, whatever their names, are passed on unread.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, groups, mix64, staged
 
-#: Units of a group of the tree, and how often a group is drawn; the draw whose words come nearest to their expectation stays.
-FAN_IN, DRAWS = 4096, 16
+#: Units of a group of the tree.
+FAN_IN = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -76,19 +77,11 @@ def _round(seed: int, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, 2):
             h = rows.column("h").to_numpy().view(np.uint64)
-            words = (rows.column("size").to_numpy() * rows.column("m").to_numpy()).astype(float)
-            p = rows.column("p").to_numpy()
-            best, least = p, np.inf
-            for draw in range(DRAWS):
-                mixed = mix64(h + np.arange(len(h), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * DRAWS + draw))
-                tried = pivot(p, (mixed >> np.uint64(11)) / float(1 << 53))
-                if last:
-                    final = (mix64(mixed) >> np.uint64(11)) / float(1 << 53)
-                    tried = np.where((tried > 0) & (tried < 1), (final < tried).astype(float), tried)
-                off = abs(((tried - p) * words).sum())
-                if off < least:
-                    best, least = tried, off
-            p = best
+            mixed = mix64(h + np.arange(len(h), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+            p = pivot(rows.column("p").to_numpy(), (mixed >> np.uint64(11)) / float(1 << 53))
+            if last:
+                final = (mix64(mixed) >> np.uint64(11)) / float(1 << 53)
+                p = np.where((p > 0) & (p < 1), (final < p).astype(float), p)
             yield from rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p)).to_batches()
 
     return run
@@ -130,8 +123,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken."""
-    taken = mix(docs, id_col, text_col, source_col, seed).where("copies > 0").select(
-        F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), "copies"
-    ).withColumnRenamed("copies", "_copies")
-    same = docs[id_col].eqNullSafe(F.col("_i")) & docs[source_col].eqNullSafe(F.col("_s")) & (word_count(docs[text_col]) == F.col("_n"))
-    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    taken = mix(docs, id_col, text_col, source_col, seed).where("copies > 0").select("id", "source", "size", "copies")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # their names cannot clash with others
+    field = lambda c: F.col("row")[c]
+    same = field(id_col).eqNullSafe(F.col("id")) & field(source_col).eqNullSafe(F.col("source")) & (word_count(field(text_col)) == F.col("size"))
+    times = F.array_repeat(F.lit(1), F.col("copies").cast("int"))
+    return rows.join(taken, same).select("row", F.explode(times).alias("one")).select("row.*")

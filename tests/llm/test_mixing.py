@@ -89,3 +89,23 @@ def test_pivot_keeps_sums_and_probabilities():
     p = np.array([0.3, 0.8, 0.4, 0.5])
     mean = np.mean([mixing.pivot(p, draw.random(4)) for _ in range(20_000)], axis=0)
     assert mean == pytest.approx(p, abs=0.02)
+
+
+def test_documents_are_taken_with_their_probabilities(spark):
+    """Through the whole operator: very unlike sizes in one small group do not change how often each is taken."""
+    sizes, n = (10, 1, 1), 1500
+    rows = [(k * n + g, "w " * size, f"s{g}") for g in range(n) for k, size in enumerate(sizes)]
+    taken = dict.fromkeys(range(3), 0.0)
+    wanted = dict.fromkeys(range(3), 0.0)
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        taken[r.id // n] += r.copies
+        wanted[r.id // n] += r.target / r.source_size
+    for k in range(3):
+        assert abs(taken[k] - wanted[k]) < 5 * (0.25 * n) ** 0.5, (k, taken, wanted)
+
+
+def test_clashing_columns(frame):
+    names = ["id", "size", "copies", "_copy", "_n", "one", "row"]
+    df = frame([(i, "a b c", "s", *[f"{n}{i}" for n in names]) for i in range(6)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    found = mixing.mixed(df)
+    assert found.columns == df.columns and all(r[n] == f"{n}{r.doc_id}" for r in found.collect() for n in names)
