@@ -5,7 +5,7 @@ Semantics. A text is split at \\n (null and empty: one empty line). A line's key
 at both ends and A-Z lower-cased; two keys are the same if their 96 bits of hash are. A key of at least one code point
 that occurs in at least `min_docs` documents repeats. Mode "all" drops all its lines, mode "first" all but its first
 occurrence by (id, text hash, position); rows of equal id and text share that occurrence and each keep it. All other lines stay,
-joined by \\n; other columns are passed on unread. Rows that repeat an id count as one document, null ids as one too.
+joined by \\n; other columns, whatever their names, are passed on unread. Rows that repeat an id count as one document, null ids as one too.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, ascii_lower, staged
 
-#: Documents in the sample that finds hot keys, and one in how many of its lines makes a key hot. At most HOT_ONE_IN keys can
-#: be hot, which bounds what is broadcast. The sample steers how rows are dealt out, never the result.
-HOT_SAMPLE, HOT_ONE_IN = 20_000, 1_000
+#: Documents in the sample that finds hot keys, and the lines that make a key hot, by its estimate: HOT_ROWS, or one in HOT_MOST of all lines where
+#: that is more. So no key that streams by is longer than that, and about HOT_MOST keys are broadcast at most. The sample steers how
+#: rows are dealt out, never the result.
+HOT_SAMPLE, HOT_ROWS, HOT_MOST = 100_000, 20_000, 20_000
 WORD_BITS = 32
 
 
@@ -37,10 +38,10 @@ def line_keys(text: Column) -> Column:
 
 def _hot(keyed: DataFrame) -> DataFrame:
     one_in = max(1, keyed.count() // HOT_SAMPLE)
-    sample = keyed.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select(F.explode("keys").alias("k")).where("k is not null")
-    counted = sample.groupBy("k.h", "k.g").agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    return F.broadcast(counted.join(F.broadcast(total)).where((F.col("n") > 10) & (F.col("n") * HOT_ONE_IN > F.col("total"))).select("h", "g"))
+    sample = keyed.where(F.pmod(F.xxhash64("id", "t"), F.lit(one_in)) == 0)
+    total = sample.agg(F.sum(F.size("keys"))).first()[0] or 0
+    counted = sample.select(F.explode("keys").alias("k")).where("k is not null").groupBy("k.h", "k.g").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") * one_in > max(HOT_ROWS, one_in * total // HOT_MOST)).select("h", "g")
 
 
 def repeated(keyed: DataFrame, min_docs: int, first: bool) -> DataFrame:
@@ -88,17 +89,17 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, first: bool = False, counts: bool = True) -> DataFrame:
     """docs with the repeated lines gone from text_col; with counts also n_lines, n_dropped (replacing columns of these names)."""
-    marks = line_bitmaps(docs, id_col, text_col, min_docs, first).select(
-        F.col("id").alias("_mark_id"), F.col("t").alias("_mark_t"), F.col("n_dropped").alias("_mark_n"), F.col("bitmap").alias("_mark_bits")
-    )
-    joined = docs.join(marks, docs[id_col].eqNullSafe(F.col("_mark_id")) & (F.xxhash64(docs[text_col]) == F.col("_mark_t")), "left")
-    lines = _lines(docs[text_col])
+    marks = line_bitmaps(docs, id_col, text_col, min_docs, first)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # their names cannot clash with others
+    field = lambda c: F.col("row")[c]
+    joined = rows.join(marks, field(id_col).eqNullSafe(F.col("id")) & (F.xxhash64(field(text_col)) == F.col("t")), "left")
+    lines = _lines(field(text_col))
 
     def stays(_: Column, i: Column) -> Column:
-        bits = F.coalesce(F.try_element_at(F.col("_mark_bits"), F.floor(i / WORD_BITS).cast("int")), F.lit(0).cast("long"))
+        bits = F.coalesce(F.try_element_at(F.col("bitmap"), F.floor(i / WORD_BITS).cast("int")), F.lit(0).cast("long"))
         return F.getbit(bits, i % WORD_BITS) == 0
 
-    kept = F.when(F.col("_mark_bits").isNull(), docs[text_col]).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    added = [F.size(lines).cast("long").alias("n_lines"), F.coalesce("_mark_n", F.lit(0)).cast("long").alias("n_dropped")] if counts else []
-    columns = [kept.alias(c) if c == text_col else docs[c] for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    kept = F.when(F.col("bitmap").isNull(), field(text_col)).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    added = [F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped")] if counts else []
+    columns = [(kept if c == text_col else field(c)).alias(c) for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     return joined.select(*columns, *added)

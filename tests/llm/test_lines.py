@@ -44,10 +44,10 @@ def corpus():
     return rows + [(40, None), (41, ""), (42, "\n\n"), (43, "only here\r\nThe same line\r"), (44, "\n".join(f"own {i}" for i in range(300)) + "\nrare")]
 
 
-@pytest.mark.parametrize(("least", "hot"), [(10, 1000), (2, 1000), (10, 30), (3, 5)])
+@pytest.mark.parametrize(("least", "hot"), [(10, 20_000), (2, 20_000), (10, 30), (3, 5)])
 @pytest.mark.parametrize("first", [False, True])
 def test_against_brute_force(frame, monkeypatch, least, hot, first):
-    monkeypatch.setattr(lines, "HOT_ONE_IN", hot)
+    monkeypatch.setattr(lines, "HOT_ROWS", hot)
     rows = corpus()
     found = lines.drop_repeated(frame([(*r, "a", "b", "c", "d", "e") for r in rows], SCHEMA), min_docs=least, first=first).collect()
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in found}
@@ -72,13 +72,22 @@ def test_bitmaps(frame):
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
 
 
-@pytest.mark.parametrize("hot", [1000, 1])  # the shared line is hot, cool
+@pytest.mark.parametrize("hot", [1, 1000])  # the shared line is hot, cool
 @pytest.mark.parametrize("ids", [[None, None, 7], [3, 3, 7]])
 def test_first_occurrence_in_repeated_rows_stays(frame, monkeypatch, hot, ids):
-    monkeypatch.setattr(lines, "HOT_ONE_IN", hot)
+    monkeypatch.setattr(lines, "HOT_ROWS", hot)
     rows = [(ids[0], "shared\nmine"), (ids[1], "shared\nmine"), (ids[2], "Shared\nother"), *[(100 + i, f"shared\n{i}") for i in range(12)]]
     found = lines.drop_repeated(frame([(*r, "a", "b", "c", "d", "e") for r in rows], SCHEMA), min_docs=3, first=True).collect()
     kept = [(r.doc_id, r.text) for r in found if "shared" in r.text.lower().split("\n")]
     least = min(((i is not None, i or 0) for i in ids))  # nulls sort first
     assert {(i is not None, i or 0) for i, _ in kept} == {least} and len({t for _, t in kept}) == 1  # one text's occurrence
     assert len(kept) == rows.count((kept[0][0], kept[0][1])) and sum(r.n_dropped for r in found) == len(rows) - len(kept)
+
+
+def test_clashing_columns(frame):
+    names = ["id", "t", "n_dropped", "bitmap", "_mark_n", "_mark_bits", "row", "keys"]
+    df = frame([(i, "same\nown", *[f"{n}{i}" for n in names]) for i in range(4)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    found = lines.drop_repeated(df, min_docs=3, counts=False).collect()
+    assert len(found) == 4 and all(r.text == "" and all(r[n] == f"{n}{r.doc_id}" for n in names) for r in found)
+    counted = lines.drop_repeated(df, min_docs=3).collect()
+    assert {(r.n_lines, r.n_dropped) for r in counted} == {(2, 2)} and all(r.bitmap == f"bitmap{r.doc_id}" for r in counted)
