@@ -3,9 +3,10 @@
 A document's ids (and an end id) go to the longest tier that they fill; below the shortest tier, to that. Each tier cuts its
 documents into whole windows; what is left of them is packed best-fit into further windows of the tier, whose gaps are
 filled with what is left in shorter tiers, cut only where nothing fits. Windows that stay open at the end are cut into
-powers of two, so no sequence needs padding. Sequences of a tier join step groups of equal token numbers.
+powers of two, so no sequence needs padding. Sequences of one length join step groups: they are numbered over all partitions, by prefix sums
+of the partitions' numbers, so each group but the last of its length holds STEP_TOKENS tokens.
 
-Each partition packs its own documents as they stream by: nothing is shuffled, and a task holds a bounded pool of remainders.
+Each partition packs its own documents as they stream by: no text is shuffled, and a task holds a bounded pool of remainders.
 
 Semantics. Null texts are empty; an empty text has the end id alone. Each id lies in one piece; pieces of a sequence follow each
 other from offset 0. Rows that repeat an id are packed each by itself. Other columns are not read.
@@ -23,12 +24,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import staged
+
 TIERS = (1024, 512, 256, 128)
 #: Remainders that are held back before they are packed, and the tokens of a step group.
 POOL, STEP_TOKENS = 4096, 16_384
+#: Of a sequence's number, the bits below the partition's.
+PART_BITS = 40
 #: Characters for which the two libraries' patterns surely agree; texts with others go to the slower one.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-¬®-ɏ‐-‧€]*")
 
@@ -72,7 +78,8 @@ class Packer:
     def __init__(self, tiers: tuple[int, ...], partition: int) -> None:
         self.tiers, self.partition = tiers, partition
         self.pools: dict[int, list] = {t: [] for t in tiers}
-        self.held, self.made, self.steps = 0, 0, dict.fromkeys(tiers, 0)
+        self.held, self.made = 0, 0
+        self.places: dict[int, int] = {}  # sequences so far, by length
         self.rows: list[tuple] = []
 
     def add(self, doc: int, ids: np.ndarray) -> None:
@@ -87,14 +94,13 @@ class Packer:
                 self.pack(False)
 
     def emit(self, pieces: list, size: int) -> None:
-        tier = size if size in self.steps else self.tiers[-1]
-        step = self.steps[tier]
-        self.steps[tier] += size
-        name = (self.partition << 40) + self.made
+        place = self.places.get(size, 0)
+        self.places[size] = place + 1
+        name = (self.partition << PART_BITS) + self.made
         self.made += 1
         offset = 0
         for doc, start, ids in pieces:
-            self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), name, offset, size, tier, step // STEP_TOKENS))
+            self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), name, offset, size, place))
             offset += len(ids)
 
     def pack(self, end: bool) -> None:
@@ -171,16 +177,16 @@ def _pack(tokens: tuple, end_id: int, tiers: tuple[int, ...]):
 
         def out() -> pa.RecordBatch:
             rows, packer.rows = packer.rows, []
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 9
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
             docs = columns[0]
             arrays = [pa.array([names[d][0] for d in docs], kind)]
             arrays += [pa.array(columns[i], pa.int64()) for i in (1, 2, 3)]
             arrays.append(pa.array([names[d][1] for d in docs], pa.int64()))
-            arrays += [pa.array(columns[i], pa.int64()) for i in (4, 5, 6, 7, 8)]
+            arrays += [pa.array(columns[i], pa.int64()) for i in (4, 5, 6, 7)]
             waiting = {p[0] for pool in packer.pools.values() for p in pool}
             for d in [d for d in names if d not in waiting]:
                 del names[d]
-            return pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "tier", "step"])
+            return pa.RecordBatch.from_arrays(arrays, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "place"])
 
         for batch in batches:
             kind = batch.column(0).type
@@ -204,14 +210,22 @@ def pack(
     docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None,
     id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, tiers: tuple[int, ...] = TIERS,
 ) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, tier and step.
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length and step (of the group; unique with
+    sequence_length).
 
     tokenizer: path of a vocabulary for the tokenizers library; ranks, pattern: the same vocabulary for the faster library.
     tiers: powers of two, falling.
     """
     schema = T.StructType(
         [T.StructField("id", docs.schema[id_col].dataType)]
-        + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "tier", "step")]
+        + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "place")]
     )
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(_pack((tokenizer, ranks, pattern), end_id, tiers), schema).withColumnRenamed("id", id_col)
+    pieces = staged(rows.mapInArrow(_pack((tokenizer, ranks, pattern), end_id, tiers), schema), "packing-pieces")
+    part = F.shiftright("sequence_id", PART_BITS).alias("part")
+    made = pieces.groupBy("sequence_length", part).agg((F.max("place") + 1).alias("n"))  # a few rows a task
+    before = Window.partitionBy("sequence_length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = made.select("sequence_length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    numbered = pieces.withColumn("part", part).join(F.broadcast(firsts), ["sequence_length", "part"])
+    step = F.floor((F.col("first") + F.col("place")) * F.least(F.col("sequence_length"), F.lit(STEP_TOKENS)) / STEP_TOKENS)
+    return numbered.select(F.col("id").alias(id_col), *schema.names[1:-1], step.alias("step"))

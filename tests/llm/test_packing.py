@@ -66,18 +66,30 @@ def test_packer_alone():
 
         class Row:
             def __init__(self, r):
-                self.doc_id, self.start, self.length, self.ids_crc32, self.sequence_id, self.offset, self.sequence_length, self.tier, self.step = r
+                self.doc_id, self.start, self.length, self.ids_crc32, self.sequence_id, self.offset, self.sequence_length, self.place = r
                 self.doc_tokens = len(docs[self.doc_id])
 
         sequences = check([Row(r) for r in packer.rows], docs, tiers[0])
         whole = sum(s[0].sequence_length in tiers for s in sequences.values())
         assert whole >= 0.9 * len(sequences)
-        steps = {}
+        places = {}
         for s in sequences.values():
-            if s[0].sequence_length in tiers:
-                steps.setdefault((s[0].tier, s[0].step), []).append(s[0].sequence_length)
-        full = [sum(v) for (tier, step), v in steps.items() if (tier, step + 1) in steps]
-        assert all(n <= packing.STEP_TOKENS for n in full)
+            places.setdefault(s[0].sequence_length, []).append(s[0].place)
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_step_groups_are_balanced_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STEP_TOKENS", 2048)
+    draw = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(draw.integers(1, 900)))) for i in range(240)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), **vocabulary()).collect()
+    assert len({r.sequence_id >> packing.PART_BITS for r in found}) == 5
+    groups = {}
+    for r in {r.sequence_id: r for r in found}.values():
+        groups.setdefault((r.sequence_length, r.step), []).append(r.sequence_length)
+    for (length, step), tokens in groups.items():
+        assert sum(tokens) == 2048 or ((length, step + 1) not in groups and sum(tokens) < 2048)
+    assert sum(len(g) for g in groups.values()) == len({r.sequence_id for r in found}) and len(groups) > 20
 
 
 def test_slow_and_fast_agree():
