@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import new_folder, staged
 
-#: Bytes of a broadcast block of queries, rows of a matrix product, cells of a histogram.
-BLOCK_BYTES, ROWS, BINS = 8 << 20, 2048, 512
+#: Bytes and queries of a broadcast block at most, scores of one matrix product (8 bytes each, a handful of such arrays at a time), cells of a
+#: query's histogram. With 4,096 queries a worker holds 17 MB of scores and 17 MB of cells, a few times over.
+BLOCK_BYTES, BLOCK_QUERIES, SCORES, BINS = 8 << 20, 4096, 2 << 20, 512
 EXACT = float(1 << 53)
 
 
@@ -53,9 +54,10 @@ def _scores(batches: Iterator[pa.RecordBatch], q_ids: np.ndarray, q: np.ndarray)
         ids, rows = _matrix(batch, q.shape[1])
         if len(rows) and most * np.abs(rows).max(initial=0) >= EXACT:
             raise ValueError("an inner product may pass 2^53; use a smaller scale")
-        for at in range(0, len(ids), ROWS):
-            some = ids[at : at + ROWS]
-            yield some, q @ rows[at : at + ROWS].T, some[None, :] != q_ids[:, None]
+        step = max(1, SCORES // max(1, len(q)))
+        for at in range(0, len(ids), step):
+            some = ids[at : at + step]
+            yield some, q @ rows[at : at + step].T, some[None, :] != q_ids[:, None]
 
 
 def _extent(block):
@@ -140,9 +142,9 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     spark = df.sparkSession
     vectors = staged(quantised(df, id_col, vector_col, scale), "topk-vectors")
     asked = staged(vectors.where(F.col("id") % every == 0).withColumn("dim", F.size("x")), "topk-queries")
-    found = None
+    base, parts = new_folder(spark, "topk-result"), 0
     for (dim,) in sorted(asked.select("dim").distinct().collect()):
-        per_block = max(1, BLOCK_BYTES // (8 * max(1, dim)))
+        per_block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * max(1, dim))))
         own = asked.where(F.col("dim") == dim)
         blocks = -(-own.count() // per_block) * 2  # of half the bytes on average, as ids are dealt out by hash
         for b in range(blocks):
@@ -154,7 +156,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             kth, ties = _select(vectors, block, len(ids), k)
             chosen = vectors.mapInArrow(_chosen(block, kth, ties), "query_id long, q long, vec_id long, score long")
             place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-            part = staged(chosen.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk-result")
-            found = part if found is None else found.unionByName(part)
+            chosen.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.parquet(f"{base}/{parts}")
+            parts += 1
             block.unpersist()
-    return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    schema = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(schema).parquet(*[f"{base}/{i}" for i in range(parts)]) if parts else spark.createDataFrame([], schema)

@@ -43,3 +43,27 @@ def test_edges(frame):
     assert alone.count() == 0 and dict(alone.dtypes)["rank"] == "int"
     with pytest.raises(Exception, match="2\\^53"):
         topk.top_k(frame([(0, [1e12], *"abc"), (1, [1e12], *"abc")], SCHEMA)).collect()
+
+
+def test_a_worker_holds_little():
+    """The peak of one histogram pass with a full block of queries over many rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(1)
+    n, dim = topk.BLOCK_QUERIES, 16
+    q = np.floor(64 * draw.normal(size=(n, dim)))
+    rows = pa.array(np.floor(64 * draw.normal(size=(3000, dim))).astype(np.int64).tolist(), pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000) + n), rows], ["id", "x"])
+
+    class Block:
+        value = (np.arange(n), q)
+
+    high = np.full(n, 1e6)
+    tracemalloc.start()
+    for out in topk._histogram(Block, -high, high, np.full(n, 4000.0), np.full(n, 20))(iter([batch])):
+        assert len(out)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
