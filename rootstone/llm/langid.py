@@ -1,10 +1,10 @@
 """Language identification by a byte convolutional network: filters of several widths over embedded bytes, max pooling and
 softmax, trained in numpy on labelled text and applied to batched windows of fixed length that cover whole texts.
 
-Semantics. The network learns from windows of at most about 2 * ROWS_PER_LANG documents of each of the MOST_LANGS most frequent
-languages: rows with a text, a language and an id, outside the held-out fold (crc32 of the id as text, modulo 4, equal to 2).
-A document's prediction is the language of the highest mean log-probability over its windows, and its score the softmax of those means.
-Texts that are null or hold no letter: "und", score 0. Without labelled rows every prediction is "und". Rows that repeat an id are predicted
+Semantics. The network learns from windows of at most about 2 * ROWS_PER_LANG documents of every labelled language: rows with a text, a language and an id, outside the held-out fold (crc32 of the id as text, modulo 4, equal to 2).
+A document's prediction is the language of the highest mean log-probability over its windows, and its score the softmax of those means;
+its lead is how many times likelier that language is than the next (infinite where only one is known).
+Texts that are null or hold no letter: "und", score and lead 0. Without labelled rows every prediction is "und". Rows that repeat an id are predicted
 each by itself. Predictions read the text alone; other columns are not read.
 """
 
@@ -17,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a window, of an embedding; filters of each width.
 WINDOW, EMBED, FILTERS, WIDTHS = 128, 8, 16, (2, 3, 4)
-#: The bounds of what is learnt from: documents a language, windows a document, languages.
-ROWS_PER_LANG, WINDOWS_PER_ROW, MOST_LANGS = 600, 4, 200
+#: The bounds of what is learnt from: documents a language, windows a document.
+ROWS_PER_LANG, WINDOWS_PER_ROW = 600, 4
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 _WORDLIKE = re.compile(r"[^\W\d_]")
 
@@ -137,11 +138,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     known = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not counts:
-        return None
-    one_in = F.create_map(*[F.lit(v) for lang, n in counts for v in (lang, max(1, n // ROWS_PER_LANG))])
-    sample = known.where(F.pmod(F.xxhash64("id"), F.try_element_at(one_in, F.col("lang"))) == 0).select("text", "lang")
+    one_in = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / ROWS_PER_LANG))
+    rates = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", one_in.alias("one_in"))  # a row a language
+    sample = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("id"), F.col("one_in")) == 0).select("text", "lang")
     table = sample.mapInArrow(_sampled, "lang string, window binary").toArrow()
     langs = sorted(set(table.column(0).to_pylist()))
     if not langs:
@@ -167,7 +166,7 @@ def _predict(network, at: str):
                 part = batch.slice(first, 128)
                 texts = _text(part, at)
                 able = [i for i, t in enumerate(texts) if net and has_letter(t)]
-                langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+                langs, scores, leads = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
                 own = [windows(texts[i].encode("utf-8", "surrogatepass")) for i in able]
                 if own:
                     n = np.array([len(w) for w in own])
@@ -176,16 +175,17 @@ def _predict(network, at: str):
                     for i, mean in zip(able, means, strict=True):
                         best = int(mean.argmax())
                         langs[i], scores[i] = net.langs[best], float(1 / np.exp(mean - mean[best]).sum())
+                        leads[i] = float(np.exp(mean[best] - np.delete(mean, best).max())) if len(mean) > 1 else float("inf")
                 rest = [part.column(i) for i, name in enumerate(part.schema.names) if name != "_text"]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(langs), pa.array(scores)], [*[n for n in part.schema.names if n != "_text"], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(langs), pa.array(scores), pa.array(leads)], [*[n for n in part.schema.names if n != "_text"], "lang_pred", "score", "lead"])
 
     return run
 
 
 def identify(docs: DataFrame, network: Network | None, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `carry` of docs with lang_pred and score. text_col may be a field of a carried struct (row.text), which is
+    """The columns `carry` of docs with lang_pred, score and lead. text_col may be a field of a carried struct (row.text), which is
     then not sent twice."""
     inside = text_col.partition(".")[0] in carry and "." in text_col
     rows = docs.select(*[docs[c] for c in carry], *([] if inside else [docs[text_col].cast("string").alias("_text")]))
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType(rows.drop("_text").schema.fields).add("lang_pred", "string").add("score", "double").add("lead", "double")
     return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(network), text_col if inside else "_text"), schema)

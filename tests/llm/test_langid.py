@@ -70,3 +70,31 @@ def test_training_lowers_the_loss():
     before = loss()
     net.train(x, y)
     assert loss() < 0.1 < before
+
+
+def test_a_prediction_is_the_definition(frame):
+    """Whole texts, by loops over the definition."""
+    rows = [r for r in corpus(60)] + [(70, "der " * 400, None), (71, "é", None)]
+    df = frame([(*r, "x", "y", "z") for r in rows], SCHEMA)
+    net = langid.fit(df)
+    k, f = max(langid.WIDTHS), langid.FILTERS
+    for r in langid.identify(df.where("doc_id > 55"), net, ["doc_id", "text"]).collect():
+        raw, logs = r.text.encode(), []
+        for at in range(0, len(raw), langid.WINDOW):
+            window = raw[at : at + langid.WINDOW].ljust(langid.WINDOW, b"\0") + bytes(k - 1)
+            pooled = []
+            for j in range(f * len(langid.WIDTHS)):
+                width, filters = langid.WIDTHS[j // f], net.filters.reshape(k, langid.EMBED, -1)
+                sums = [sum(float(net.embed[window[p + i]] @ filters[i, :, j]) for i in range(width)) for p in range(langid.WINDOW)]
+                pooled.append(max(max(sums) + net.bias[j], 0))
+            z = np.array(pooled) @ net.out + net.out_bias
+            logs.append(z - z.max() - np.log(np.exp(z - z.max()).sum()))
+        mean = np.mean(logs, axis=0)
+        shares = np.exp(mean) / np.exp(mean).sum()
+        assert r.lang_pred == net.langs[int(mean.argmax())] and abs(r.score - shares.max()) < 1e-3
+        assert abs(np.log(r.lead) - (np.sort(mean)[-1] - np.sort(mean)[-2])) < 1e-2
+
+
+def test_every_labelled_language_is_learnt(frame):
+    df = frame([(i, f"wort{i % 230} " * 3, f"l{i % 230:03}", "x", "y", "z") for i in range(920)], SCHEMA)
+    assert len(langid.fit(df).langs) == 230
