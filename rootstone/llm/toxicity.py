@@ -6,13 +6,14 @@ continuations: of how many longer n-grams of either class an n-gram is the end.
 seen are smoothed alike. A document's log-likelihood ratios are normalised by length: over the whole text, over its best
 window and over its best words; a logistic function of these three is the score.
 
-What is counted: the words of all labelled documents of folds 0 and 1 (crc32 of the id as text, modulo 4), by distributed
-aggregation. What is calibrated: the logistic function, on at most about 2 * FIT_ROWS labelled documents of fold 3. Fold 2 is never
+What is calibrated: the logistic function, on at most about 2 * FIT_ROWS labelled documents of fold 3 (crc32 of the id as text, modulo 4). What
+is counted: the words of all other labelled documents of folds 0, 1 and 3, by distributed aggregation. Fold 2 is never
 learnt from. The counts are exact: all distinct n-grams of the counted words are collected into sorted tables and sent to the
 executors, so what the driver and each worker hold grows with their number (16 bytes a six-gram, 24 a context, 12 to 16 a shorter one).
 
 Semantics. Words are runs of digits, letters and non-ASCII characters, lower-cased in A-Z. Texts without words and null texts have ratios of
-0, and the score that follows from them. Labels that are null are not read; without labels of both classes every score is 0. Rows that
+0, and the score that follows from them. A label 1 is toxic and 0 ordinary; others, and null, are not read. Without counted documents of both
+classes every score is 0; without calibration rows of both, the score is the logistic function of the whole text's ratio. Rows that
 repeat an id are scored each by itself, and repeated labels count each. Scores read the text alone.
 """
 
@@ -135,11 +136,16 @@ class Model:
         return np.add.reduceat((np.log(toxic) - np.log(ordinary))[place], np.cumsum(n) - n)
 
 
-def count(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def calibrated(one_in: int) -> Column:
+    """Whether a labelled row is one of those that fit the logistic function."""
+    return (fold(F.col("id")) == 3) & (F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
+
+
+def count(docs: DataFrame, labels: DataFrame, one_in: int = 1) -> DataFrame:
     """(gram, n0, n1) of the words of labelled documents; docs: id, text; labels: id, toxic."""
-    known = labels.where(F.col("toxic").isNotNull() & fold(F.col("id")).isin(0, 1))
+    known = labels.where((fold(F.col("id")) != 2) & ~calibrated(one_in))
     # a sort-merge join however few labels there are: the plan of a small input is the plan of a large one
-    texts = docs.where(fold(F.col("id")).isin(0, 1) & F.col("text").isNotNull()).join(known.hint("merge"), "id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    texts = docs.where((fold(F.col("id")) != 2) & F.col("text").isNotNull()).join(known.hint("merge"), "id").select("text", F.col("toxic").cast("int").alias("toxic"))
     counted = texts.mapInArrow(_vocabulary, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     return staged(counted.mapInArrow(_n_grams, "gram long, n0 long, n1 long").groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-grams")
 
@@ -195,8 +201,9 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """id, score and predicted (score >= THRESHOLD) of every row of docs."""
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).where("toxic is not null and id is not null")
-    grams = count(texts, known)
+    known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("toxic")).where("toxic in (0, 1) and id is not null")
+    one_in = max(1, known.where(fold(F.col("id")) == 3).count() // FIT_ROWS)
+    grams = count(texts, known, one_in)
     totals = grams.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
     nothing = texts.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     if not all(totals):
@@ -205,11 +212,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     schema = texts.select("id").schema.add("f0", "double").add("f1", "double").add("f2", "double")
     measured = staged(texts.select("id", F.col("text").alias("_text")).mapInArrow(_measure(model), schema), "toxicity-features")
     model.unpersist()
-    fitted = measured.join(known.where(fold(F.col("id")) == 3), "id")
-    one_in = max(1, fitted.count() // FIT_ROWS)
-    sample = fitted.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).select("f0", "f1", "f2", F.col("toxic").cast("double")).toArrow().to_pandas().sort_values(["f0", "f1", "f2"]).to_numpy()
-    if not len(sample) or len(set(sample[:, 3])) < 2:
-        return nothing
+    fitted = measured.join(known.where(calibrated(one_in)), "id")
+    sample = fitted.select("f0", "f1", "f2", F.col("toxic").cast("double")).toArrow().to_pandas().sort_values(["f0", "f1", "f2", "toxic"]).to_numpy()
+    if len(set(sample[:, 3])) < 2:
+        plain = measured.select(F.col("id").alias(id_col), (1 / (1 + F.exp(-F.col("f0")))).alias("score"))
+        return plain.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
     centre, spread = sample[:, :3].mean(axis=0), sample[:, :3].std(axis=0) + 1e-9
     w = logistic((sample[:, :3] - centre) / spread, sample[:, 3])
     z = sum(((F.col(f"f{i}") - float(centre[i])) / float(spread[i]) * float(w[i]) for i in range(3)), F.lit(float(w[3])))

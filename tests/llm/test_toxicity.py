@@ -100,11 +100,28 @@ def test_held_out_quality(frame, spark):
 
 def test_without_labels(frame):
     docs = frame([(1, "water", "i", "f", "t")], SCHEMA)
-    for marks in ([], [(1, 1, "e")], [(1, 0, "e"), (2, 0, "e")]):
+    for marks in ([], [(1, 1, "e")], [(1, 0, "e"), (2, 0, "e")], [(1, 3, "e"), (2, -1, "e")]):
         assert [(r.score, r.predicted) for r in toxicity.score(docs, frame(marks, "doc_id long, toxic int, text string")).collect()] == [(0.0, 0)]
     assert toxicity.score(frame([], SCHEMA), frame([], "doc_id long, toxic int, text string")).count() == 0
 
 
+def test_other_labels_are_not_read(frame):
+    rows, labels = corpus()
+    docs = frame([(*r, "i", "f", "t") for r in rows], SCHEMA)
+    score = lambda marks: {r.doc_id: r.score for r in toxicity.score(docs, frame([(*x, "e") for x in marks], "doc_id long, toxic int, text string")).collect()}
+    odd = [(rows[0][0], 7), (rows[1][0], -1), (rows[2][0], 2)]
+    assert score(labels) == pytest.approx(score(labels + odd))
+
+
+def test_without_calibration_rows(frame):
+    rows, labels = corpus()
+    counted = [(i, t) for i, t in labels if zlib.crc32(str(i).encode()) % 4 in (0, 1)]
+    found = toxicity.score(frame([(*r, "i", "f", "t") for r in rows], SCHEMA), frame([(*x, "e") for x in counted], "doc_id long, toxic int, text string")).collect()
+    got, truth = {r.doc_id: r.score for r in found}, dict(labels)
+    toxic, clean = ([got[i] for i in got if truth.get(i) == t] for t in (1, 0))
+    assert min(toxic) > max(clean)
+
+
 def test_features():
     assert toxicity.features(np.zeros(0)) == (0.0, 0.0, 0.0)
     assert toxicity.features(np.array([1.0, 5.0])) == (3.0, 3.0, 2.0)
