@@ -7,7 +7,7 @@ hashes of proper prefixes; of equal conversations the least id stays.
 Semantics. Turns are ordered by turn (null first), role, text; their places count from 0, whatever the turn numbers. Null role and text
 differ from empty ones when compared, and are rendered as "unknown" and "". Rows that repeat a turn are turns of their own. Rows with null
 conv_id form one conversation with null id. Prefixes are told apart by two 64-bit sums and the length. Extra columns are not read.
-All of it is DataFrame operations; prefix hashes are made distinct before they are dealt out, so common first turns are no hot keys.
+The texts are shuffled once to their conversations and once, rendered, to what stays. All of it is DataFrame operations; prefix hashes are made distinct before they are dealt out, so common first turns are no hot keys.
 """
 
 from __future__ import annotations
@@ -30,32 +30,29 @@ def _wrapping_sum(of: Column, window) -> Column:
     return F.pmod(F.sum(F.pmod(of, F.lit(1 << 62)).cast("decimal(38,0)")).over(window), F.lit(1 << 62).cast("decimal(38,0)")).cast("long")
 
 
-def prefixes(turns: DataFrame) -> DataFrame:
-    """Per turn: conv_id, place, role, text, a and b (hashes of the prefix that ends here), n (turns of the conversation)."""
+def conversations_of(turns: DataFrame, start: str, end: str) -> DataFrame:
+    """Per conversation, in one shuffle of the turns: conv_id, rendered, n (turns), a and b (hashes of all of it), and proper, the hashes of its
+    proper prefixes."""
     whole = Window.partitionBy("conv_id")
     ordered = whole.orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
     placed = turns.select("conv_id", "turn", "role", "text", (F.row_number().over(ordered) - 1).alias("place"))
-    hashed = placed.select("conv_id", "turn", "place", "role", "text", _turn_hash(1).alias("x"), _turn_hash(2).alias("y"))
+    hashed = placed.select("conv_id", "place", "role", "text", _turn_hash(1).alias("x"), _turn_hash(2).alias("y"))
     running = whole.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return hashed.select(
-        "conv_id", "place", "role", "text", _wrapping_sum(F.col("x"), running).alias("a"), _wrapping_sum(F.col("y"), running).alias("b"),
-        (F.lead("place").over(whole.orderBy("place"))).isNull().alias("last"),
+    line = F.concat(F.lit(start), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end))
+    summed = hashed.select("conv_id", "place", line.alias("line"), _wrapping_sum(F.col("x"), running).alias("a"), _wrapping_sum(F.col("y"), running).alias("b"))
+    listed = summed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "line", "a", "b"))).alias("turns"))
+    last, n = F.element_at("turns", -1), F.size("turns")
+    return listed.select(
+        "conv_id", F.array_join(F.transform("turns", lambda t: t["line"]), "\n").alias("rendered"), n.cast("long").alias("n"), last["a"].alias("a"), last["b"].alias("b"),
+        F.transform(F.slice("turns", F.lit(1), n - 1), lambda t: F.struct((t["place"] + 1).cast("long").alias("n"), t["a"], t["b"])).alias("proper"),
     )
 
 
 def maximal(hashes: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_equal) of the conversations that stay. hashes: conv_id, place, a, b, last."""
-    wholes = hashes.where("last").groupBy("place", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
-    proper = hashes.where("not last").select("place", "a", "b").distinct()
-    stay = wholes.join(proper, ["place", "a", "b"], "left_anti")
-    return stay.select("conv_id", (F.col("place") + 1).cast("long").alias("n_turns"), "n_equal")
-
-
-def render(turns: DataFrame, start: str = START, end: str = END) -> DataFrame:
-    """(conv_id, rendered) of turns with conv_id, place, role, text."""
-    line = F.concat(F.lit(start), F.coalesce("role", F.lit("unknown")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(end))
-    listed = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(listed, lambda t: t["line"]), "\n").alias("rendered"))
+    """(conv_id, n, a, b, n_equal) of the conversations that stay. hashes: conv_id, n, a, b, proper."""
+    wholes = hashes.groupBy("n", "a", "b").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
+    proper = hashes.select(F.explode("proper").alias("p")).select("p.*").distinct()
+    return wholes.join(proper, ["n", "a", "b"], "left_anti")
 
 
 def collapse(conversations: DataFrame, start: str = START, end: str = END) -> DataFrame:
@@ -63,10 +60,8 @@ def collapse(conversations: DataFrame, start: str = START, end: str = END) -> Da
     turns = conversations.select(
         conversations["conv_id"], conversations["turn"], conversations["role"].cast("string").alias("role"), conversations["text"].cast("string").alias("text")
     )
-    hashes = staged(prefixes(turns), "chat-prefixes")
-    stay = maximal(hashes.select("conv_id", "place", "a", "b", "last"))
-    kept = stay.select(F.col("conv_id").alias("_c"), "n_turns", "n_equal")
-    ids = stay.select(F.col("conv_id").alias("_i"))
-    of_kept = hashes.join(ids, F.col("conv_id").eqNullSafe(F.col("_i")), "left_semi")
-    rendered = render(of_kept, start, end)
-    return rendered.join(kept, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "n_turns", "n_equal", "rendered")
+    every = staged(conversations_of(turns, start, end), "chat-conversations")
+    stay = maximal(every.select("conv_id", "n", "a", "b", "proper")).toDF("n", "a", "b", "kept_id", "n_equal")
+    texts = every.select("conv_id", "rendered", "n", "a", "b")
+    joined = texts.join(stay, ["n", "a", "b"]).where(F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    return joined.select("conv_id", F.col("n").alias("n_turns"), "n_equal", "rendered")
