@@ -79,6 +79,32 @@ def test_nulls_repeats_and_nothing(frame):
     assert minhash.near_duplicates(frame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("agreement", [0.6, 0.0])
+def test_large_families(frame, monkeypatch, agreement):
+    """Families over many blocks, by rows and by bytes: copies of a leader, members that only others link, and chains."""
+    monkeypatch.setattr(minhash, "FAMILY_BYTES", 3000)
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(4))
+    base, rows = [word() for _ in range(60)], []
+    for k in range(70):
+        copy = list(base)
+        for _ in range(draw.randint(0, 6)):
+            copy[draw.randrange(60)] = word()
+        rows.append((1000 - 7 * k, " ".join(copy)))
+        if k % 10 == 0:
+            base = copy
+    found = minhash.near_duplicates(frame([(*r, "", "", "", "") for r in rows], SCHEMA), width=2, family_block=6, agreement=agreement).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute(rows, 2)
+
+
+def test_every_text_of_an_id_counts(frame):
+    """Near, not equal, links of each text of an id that has several."""
+    text = lambda c, last: " ".join(f"{c}{i}" for i in range(40)) + " " + last
+    rows = [(5, text("a", "x")), (5, text("b", "x")), (5, text("c", "x")), (9, text("a", "y")), (8, text("b", "y")), (7, text("c", "y")), (3, text("d", "z"))]
+    found = minhash.near_duplicates(frame([(*r, "", "", "", "") for r in rows], SCHEMA)).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(5, 5), (9, 5), (8, 5), (7, 5), (3, 3)}
+
+
 def test_word_hashes_tell_words_apart():
     texts = [b"", b"a", b" a  b\tc\x0bd ", "é ü x".encode(), b"x" * 100_000, b"ab ba aab aba"]
     hashes, counts = word_hashes(texts)
