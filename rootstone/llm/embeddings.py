@@ -72,11 +72,13 @@ class Index:
         back = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
         return codes, np.sqrt(((rest - back) ** 2).sum(axis=1))
 
-    def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Own lists, and (row, list) of the higher lists in which a vector within reach may be."""
+    def probes(self, x: np.ndarray, reach: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own lists, and (row, list) of the higher lists in which a vector within reach may be; of these the `most` nearest, if given."""
         own, d = _nearest(x, self.centres)
         between = np.sqrt(_nearest(self.centres[own], self.centres)[1])
         near = d - d[np.arange(len(x)), own][:, None] <= 2 * reach * between + 1e-9
+        if most is not None and most < len(self.centres):
+            near &= d <= np.partition(d, most, axis=1)[:, most : most + 1]
         rows, lists = np.nonzero(near & (np.arange(len(self.centres))[None, :] > own[:, None]))
         return own, rows, lists
 
@@ -95,7 +97,7 @@ def _vectors(column, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype(np.float64)
 
 
-def _rows(index: Index, reach: float, kind: str):
+def _rows(index: Index, reach: float, kind: str, most: int | None):
     """One row per vector and list that it lives in (resident) or visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +105,7 @@ def _rows(index: Index, reach: float, kind: str):
             for at in range(0, len(batch), 1024):
                 some = batch.slice(at, 1024)
                 x = index.value.unit(_vectors(some.column("x"), kind))
-                own, rows, lists = index.value.probes(x, reach)
+                own, rows, lists = index.value.probes(x, reach, most)
                 codes, errors = index.value.code(x, own)
                 take = np.concatenate([np.arange(len(some)), rows])
                 resident = np.arange(len(take)) < len(some)
@@ -192,8 +194,9 @@ def _packed(vectors: DataFrame, dim: int, kind: str) -> DataFrame:
     return vectors.select("id", "n", "x").mapInArrow(run, "id long, n long, x binary")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, block: int = BLOCK) -> DataFrame:
-    """One row per row of df: id, n_links, component_id, kept."""
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, block: int = BLOCK, probes: int | None = None) -> DataFrame:
+    """One row per row of df: id, n_links, component_id, kept. probes: besides its own list, a vector visits so many of the nearest at most; without
+    it, all that may hold a partner, and no link is lost."""
     spark, reach = df.sparkSession, math.sqrt(2 - 2 * cosine) + 1e-9
     kind = "<f4" if isinstance(getattr(df.schema[vector_col].dataType, "elementType", None), FloatType) else "<f8"
     all_rows = df.select(df[id_col].cast("long").alias("id"), df[vector_col].cast("array<double>").alias("x"))
@@ -212,7 +215,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         one_in = -(-n // FIT_ROWS)
         sample = own.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0).limit(2 * FIT_ROWS).select("x").toArrow().column(0).to_pylist() or [own.first().x]
         index = spark.sparkContext.broadcast(Index(np.frombuffer(b"".join(sample), kind).reshape(len(sample), dim).astype(np.float64), n))
-        placed = staged(own.mapInArrow(_rows(index, reach, kind), "id long, n long, x binary, list int, resident boolean, codes binary, error double"), "pq-lists")
+        placed = staged(own.mapInArrow(_rows(index, reach, kind, probes), "id long, n long, x binary, list int, resident boolean, codes binary, error double"), "pq-lists")
         found = found.unionByName(staged(_dealt(placed, block).mapInArrow(_links(index, cosine, reach, kind), "u long, v long, w long"), "pq-links"))
 
     joined = components(found.where("v is not null").select("u", "v")).withColumnRenamed("id", "rep")

@@ -52,19 +52,46 @@ def test_nulls_repeats_and_nothing(frame):
     assert embeddings.near_duplicates(frame([], SCHEMA)).count() == 0
 
 
-def test_probes_and_codes_lose_nothing():
-    draw = np.random.default_rng(9)
-    x = draw.normal(size=(800, 20))
+def many(n=900):
+    """Vectors around some centres, and some copies of them."""
+    draw = np.random.default_rng(7)
+    centres = draw.normal(size=(25, 12))
+    x = centres[draw.integers(0, 25, n)] + 0.25 * draw.normal(size=(n, 12))
+    x[::9] = x[1::9] + 0.02 * draw.normal(size=x[::9].shape)
+    return x
+
+
+def test_many_lists_lose_nothing(frame, monkeypatch):
+    monkeypatch.setattr(embeddings, "LIST_ROWS", 40)
+    check(frame, list(enumerate(many().tolist())))
+
+
+def test_few_probes_still_find_most(frame, monkeypatch):
+    monkeypatch.setattr(embeddings, "LIST_ROWS", 40)
+    rows = list(enumerate(many().tolist()))
+    found = embeddings.near_duplicates(frame([(*r, "", "", "") for r in rows], SCHEMA), probes=3).collect()
+    links, _ = brute(rows)
+    assert 0.9 * 2 * len(links) <= sum(r.n_links for r in found) <= 2 * len(links) and len(links) > 300
+
+
+def test_probes_and_codes_lose_nothing(monkeypatch):
+    monkeypatch.setattr(embeddings, "LIST_ROWS", 40)
+    x = many(800)
     index = embeddings.Index(x, 800)
+    assert len(index.centres) == 20
     unit = index.unit(x)
     reach = 0.6
     own, rows, lists = index.probes(unit, reach)
     codes, errors = index.code(unit, own)
     near = np.sqrt(((unit[:, None] - unit[None]) ** 2).sum(axis=2)) <= reach
     visits = set(zip(rows.tolist(), lists.tolist(), strict=True))
+    assert len(visits) > 100
+    crossing = 0
     for i, j in zip(*np.nonzero(near), strict=True):
         if own[i] < own[j]:
             assert (i, own[j]) in visits
+            crossing += 1
+    assert crossing > 10
     for k in range(len(index.centres)):
         members = np.flatnonzero(own == k)
         if len(members):
