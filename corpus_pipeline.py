@@ -13,8 +13,9 @@ from rootstone.llm import langid, lines, minhash, mixing, packing
 from rootstone.llm.common import staged, table
 from rootstone.llm.queries import vocabulary
 
-#: Texts whose best language is no likelier than this are rejected, besides those without a letter.
-LEAST_SCORE = 0.3
+#: Texts whose best language is less than so many times likelier than the next are rejected, besides those without a letter, however many
+#: languages are known.
+LEAST_LEAD = 1.05
 #: Lines in so many documents stay in the first of them only.
 LINE_DOCS = 10
 #: Words of a shingle; documents are near duplicates from a similarity of 0.8.
@@ -22,10 +23,14 @@ SHINGLE = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the network knows; rejects those without a letter."""
+    """Keeps documents in a language that the network knows; rejects those without a letter and those between languages. Where nothing can be
+    learnt, as no document is labelled, all documents stay."""
+    network = langid.fit(docs)
+    if network is None:
+        return docs
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # its names cannot clash with those added
-    found = langid.identify(rows, langid.fit(docs), ["row"], "row.text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    found = langid.identify(rows, network, ["row"], "row.text")
+    return found.where((F.col("lang_pred") != "und") & (F.col("lead") >= LEAST_LEAD)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +40,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document of the least id stays. Rows without an id stay."""
-    groups = minhash.near_duplicates(docs, width=SHINGLE)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    """Of each component of near duplicates the document of the least id stays. Rows that repeat an id are one document with several texts: it
+    stays or goes as a whole, and of its rows with one text any one stays. Rows without an id stay."""
+    gone = minhash.near_duplicates(docs, width=SHINGLE).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # their names cannot clash with others
+    left = rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti")
+    known = left.where("row.doc_id is not null").groupBy(F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("h"), F.hash("row.text").alias("g"))
+    return known.agg(F.any_value("row").alias("row")).select("row.*").unionByName(left.where("row.doc_id is null").select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. Rows equal in id, source and size are taken equally often; other columns are passed on."""
     return mixing.mixed(docs)
 
 
