@@ -137,8 +137,9 @@ def _confirmed(width: int, percent: int, least: float):
                 for q in queries.tolist():
                     others = targets[joined.root[targets] != joined.root[q]]
                     if len(others) and len(found := others[alike(q, others)]):
+                        one = found[np.unique(joined.root[found], return_index=True)[1]]  # of each component that q joins
                         joined.join(q, found)
-                        u, v = np.append(u, found), np.append(v, np.full(len(found), q))
+                        u, v = np.append(u, one), np.append(v, np.full(len(one), q))
             yield pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], ["u", "v"])
 
     return run
@@ -190,7 +191,8 @@ def near_duplicates(
     total = there.count()
     members = staged(join_counted(there.select("id", *equal), classes.select(*equal, "class", "n"), equal, "n", total).select("id", "n_shingles", "class"), "minhash-classes")
     chosen = classes.select(*equal, "rep.id", "rep.t", "class")
-    reps = there.join(chosen, [*equal, "id", "t"]).dropDuplicates(["class"]).select(F.col("class").alias("id"), F.col("id").alias("doc"), "t", "size", "sig", "keys")
+    reps = there.join(chosen, [*equal, "id", "t"]).dropDuplicates(["class"])
+    reps = staged(reps.select(F.col("class").alias("id"), F.col("id").alias("doc"), "t", "size", "sig", "keys"), "minhash-representatives")
     banded = reps.select("id", F.posexplode("keys")).select("id", F.xxhash64("pos", "col").alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     in_blocks = _blocks(banded.join(full, "key"), F.col("n"), bucket_block).join(reps.select("id", "sig"), "id")
