@@ -161,7 +161,7 @@ def test_every_read_notices_what_storage_did_since(spark, tmp_path, spread):
     assert len(contents(s)) == 20 and s.version == 1
 
 
-def test_buckets_that_were_derived_are_carried_forward(spark, tmp_path, monkeypatch):
+def test_buckets_that_were_derived_are_carried_forward(spark, tmp_path, monkeypatch, spread):
     s, folded = create(spark, tmp_path, depth=6), []
     s.put_batch([put(b"key%d" % i, b"value") for i in range(200)])
     original = Store.leaves
