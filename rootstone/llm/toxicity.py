@@ -8,8 +8,9 @@ window and over its best words; a logistic function of these three is the score.
 
 What is calibrated: the logistic function, on at most about 2 * FIT_ROWS labelled documents of fold 3 (crc32 of the id as text, modulo 4). What
 is counted: the words of all other labelled documents of folds 0, 1 and 3, by distributed aggregation. Fold 2 is never
-learnt from. The counts are exact: all distinct n-grams of the counted words are collected into sorted tables and sent to the
-executors, so what the driver and each worker hold grows with their number (16 bytes a six-gram, 24 a context, 12 to 16 a shorter one).
+learnt from. The counts are exact. As long as the tables of all distinct n-grams stay below TABLE_BYTES they are collected, sorted and sent to
+the executors. Larger ones stay distributed: the ratios of the corpus's distinct words come from joins with the tables, order by order, and
+meet the texts in chunks of CHUNK_BYTES. Both ways give the same ratios but for the rounding of sums; tests hold them against each other.
 
 Semantics. Words are runs of digits, letters and non-ASCII characters, lower-cased in A-Z. Texts without words and null texts have ratios of
 0, and the score that follows from them. A label 1 is toxic and 0 ordinary; others, and null, are not read. Without counted documents of both
@@ -19,21 +20,29 @@ repeat an id are scored each by itself, and repeated labels count each. Scores r
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, staged
+from .common import join_counted, lowered, staged
 
 ORDER, DISCOUNT = 6, 0.75
 FIT_ROWS, WINDOW, BEST = 20_000, 12, 3
 THRESHOLD = 0.3
 #: Distinct words whose ratios a worker keeps.
 KEPT_WORDS = 400_000
+#: The most bytes of n-gram tables that are collected and broadcast, and the most that an n-gram takes in them.
+TABLE_BYTES, GRAM_BYTES = 256 << 20, 40
+#: Bytes of texts that meet their words' ratios together; a longer text is a chunk by itself.
+CHUNK_BYTES = 4 << 20
 _START, _END = b"\x02", b"\x03"
 _TO_SPACE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -79,19 +88,26 @@ def _n_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), *map(pa.array, sums)], ["gram", "n0", "n1"])
 
 
+def low(code: Column, order: int) -> Column:
+    """The last bytes of an n-gram."""
+    return code.bitwiseAND(F.lit((1 << 8 * order) - 1))
+
+
+def continuations(grams: DataFrame) -> dict[int, DataFrame]:
+    """(gram, n) of the orders five to one: of how many distinct longer n-grams each one is the end."""
+    found, longer = {}, grams
+    for order in range(ORDER - 1, 0, -1):
+        longer = found[order] = staged(longer.select(low(F.col("gram"), order).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "toxicity-continuations")
+    return found
+
+
 class Model:
     """Exact sorted tables. long: six-grams and their counts per class; contexts: of their first five bytes the totals and
     numbers of kinds; shared: per shorter order the n-grams, their continuations, and totals and kinds of their contexts."""
 
-    def __init__(self, grams: DataFrame) -> None:
+    def __init__(self, grams: DataFrame, shorter: dict[int, DataFrame] | None = None) -> None:
         self.long, self.contexts = self.tables(grams, ["n0", "n1"])
-        self.shared = {}
-        shorter = grams.select("gram")
-        for order in range(ORDER - 1, 0, -1):
-            ends = shorter.select(F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram"))
-            counted = staged(ends.groupBy("gram").agg(F.count("*").alias("n")), "toxicity-continuations")
-            self.shared[order] = self.tables(counted, ["n"])
-            shorter = counted.select("gram")
+        self.shared = {order: self.tables(counted, ["n"]) for order, counted in (shorter or continuations(grams)).items()}
 
     @staticmethod
     def tables(grams: DataFrame, names: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -184,6 +200,89 @@ def _measure(model):
     return run
 
 
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers chunks of neighbouring rows; 64 bytes a row bound the rows without texts."""
+    chunk, size = TaskContext.get().partitionId() << 33, 0
+    for batch in batches:
+        numbers = []
+        for n in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist():
+            if size and size + n + 64 > CHUNK_BYTES:
+                chunk, size = chunk + 1, 0
+            size += n + 64
+            numbers.append(chunk)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], ["id", "text", "chunk"])
+
+
+def _word_id(word: bytes) -> bytes:
+    return hashlib.blake2b(word, digest_size=16).digest()
+
+
+def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each run of rows of one chunk."""
+    for batch in batches:
+        for chunk, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(1), strict=True), lambda r: r[0]):
+            some = list({w for _, text in rows for w in words(text.as_py())})
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array(map(_word_id, some), pa.binary()), pa.array(some, pa.binary())], ["chunk", "word_id", "word"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The six-grams at the places of each word."""
+    for batch in batches:
+        if len(batch):
+            code, n = codes(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(code.view(np.int64))], ["word_id", "code"])
+
+
+def _smoothed(n: Column, total: Column, kinds: Column, below: Column) -> Column:
+    """Model.discounted of columns; null where a table has no row."""
+    return F.when(total > 0, F.greatest(F.coalesce(n, F.lit(0)) - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * kinds / total * below).otherwise(below)
+
+
+def gram_ratios(wanted: DataFrame, grams: DataFrame, shorter: dict[int, DataFrame]) -> DataFrame:
+    """(gram, ratio) of the distinct six-grams in wanted. N-grams that meet in a join differ in one byte, so no key has over 256 rows."""
+    context = F.shiftrightunsigned("gram", 8).alias("context")
+    needed = {ORDER: wanted.select("gram")}
+    for order in range(ORDER - 1, 0, -1):
+        needed[order] = staged(needed[order + 1].select(low(F.col("gram"), order).alias("gram")).distinct(), "toxicity-needed")
+    below = None
+    for order in range(1, ORDER):
+        contexts = shorter[order].groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        rows = needed[order].select("gram", context, low(F.col("gram"), order - 1).alias("end")).join(shorter[order], "gram", "left").join(contexts, "context", "left")
+        rows = rows.join(below, "end") if below else rows.withColumn("below", F.lit(1 / 256))
+        p = rows.select(F.col("gram").alias("end"), _smoothed(F.col("n"), F.col("total"), F.col("kinds"), F.col("below")).alias("below"))
+        below = staged(p, "toxicity-order")
+    sums = [a for c in "01" for a in (F.sum(f"n{c}").alias(f"total{c}"), F.count_if(F.col(f"n{c}") > 0).alias(f"kinds{c}"))]
+    rows = needed[ORDER].select("gram", context, low(F.col("gram"), ORDER - 1).alias("end")).join(grams, "gram", "left").join(grams.groupBy(context).agg(*sums), "context", "left").join(below, "end")
+    ordinary, toxic = (_smoothed(*[F.col(f"{name}{c}") for name in ("n", "total", "kinds")], F.col("below")) for c in "01")
+    return rows.select("gram", (F.log(toxic) - F.log(ordinary)).alias("ratio"))
+
+
+def _score_chunk(rows: pa.Table, found: pa.Table) -> pa.Table:
+    by_id = dict(zip(found.column("word_id").to_pylist(), found.column("ratio").to_pylist(), strict=True))
+    kept: dict[bytes, float] = {}
+    out = []
+    for text in rows.column("text"):
+        ws = words(text.as_py())
+        kept.update((w, by_id[_word_id(w)]) for w in set(ws).difference(kept))
+        out.append(features(np.array([kept[w] for w in ws])))
+    return pa.Table.from_arrays([rows.column("id"), *[pa.array([f[i] for f in out], pa.float64()) for i in range(3)]], names=["id", "f0", "f1", "f2"])
+
+
+def measure_by_joins(texts: DataFrame, grams: DataFrame, shorter: dict[int, DataFrame]) -> DataFrame:
+    """id and features of every row of texts (id, text), however large the tables. Words are joined by 128 bits of their hash."""
+    docs = staged(texts.mapInArrow(_chunked, texts.select("id", "text").schema.add("chunk", "long")), "toxicity-chunks")
+    pieces = staged(docs.select("chunk", "text").mapInArrow(_chunk_words, "chunk long, word_id binary, word binary"), "toxicity-words")
+    vocabulary = staged(pieces.groupBy("word_id").agg(F.any_value("word").alias("word"), F.count("*").alias("uses")), "toxicity-vocabulary")
+    placed = staged(vocabulary.select("word_id", "word").mapInArrow(_placed, "word_id binary, code long"), "toxicity-placed")
+    used = staged(placed.groupBy(F.col("code").alias("gram")).agg(F.count("*").alias("places")), "toxicity-used")
+    ratios = staged(gram_ratios(used, grams, shorter).join(used, "gram").withColumnRenamed("gram", "code"), "toxicity-ratios")
+    of_words = join_counted(placed, ratios, ["code"], "places", placed.count()).groupBy("word_id").agg(F.sum("ratio").alias("ratio"))
+    lookup = staged(of_words.join(vocabulary.select("word_id", "uses"), "word_id"), "toxicity-word-ratios")
+    found = join_counted(pieces.select("chunk", "word_id"), lookup, ["word_id"], "uses", pieces.count()).select("chunk", "word_id", "ratio")
+    schema = texts.select("id").schema.add("f0", "double").add("f1", "double").add("f2", "double")
+    return docs.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_score_chunk, schema)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Newton's method with a little shrinkage; the last weight is the constant."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -208,10 +307,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     nothing = texts.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     if not all(totals):
         return nothing
-    model = docs.sparkSession.sparkContext.broadcast(Model(grams))
-    schema = texts.select("id").schema.add("f0", "double").add("f1", "double").add("f2", "double")
-    measured = staged(texts.select("id", F.col("text").alias("_text")).mapInArrow(_measure(model), schema), "toxicity-features")
-    model.unpersist()
+    shorter = continuations(grams)
+    if GRAM_BYTES * sum(t.count() for t in (grams, *shorter.values())) <= TABLE_BYTES:
+        model = docs.sparkSession.sparkContext.broadcast(Model(grams, shorter))
+        schema = texts.select("id").schema.add("f0", "double").add("f1", "double").add("f2", "double")
+        measured = staged(texts.select("id", F.col("text").alias("_text")).mapInArrow(_measure(model), schema), "toxicity-features")
+        model.unpersist()
+    else:
+        measured = staged(measure_by_joins(texts, grams, shorter), "toxicity-features")
     fitted = measured.join(known.where(calibrated(one_in)), "id")
     sample = fitted.select("f0", "f1", "f2", F.col("toxic").cast("double")).toArrow().to_pandas().sort_values(["f0", "f1", "f2", "toxic"]).to_numpy()
     if len(set(sample[:, 3])) < 2:

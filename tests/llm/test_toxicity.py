@@ -122,6 +122,22 @@ def test_without_calibration_rows(frame):
     assert min(toxic) > max(clean)
 
 
+def test_large_tables_stay_distributed(frame, monkeypatch):
+    rows, labels = corpus(200)
+    odd = [(9000, None), (9001, ""), (9002, " -- "), (None, "water"), (None, "water"), (9004, "Water " * 20_000), (9005, "x" * 50_000 + " zlort 漢字"), (7, "snarvik")]
+    docs = frame([(*r, "i", "f", "t") for r in rows + odd], SCHEMA)
+    marks = frame([(*x, "e") for x in labels], "doc_id long, toxic int, text string")
+    scores = lambda: sorted(((r.doc_id or -1, r.score, r.predicted) for r in toxicity.score(docs, marks).collect()))
+    collected = scores()
+    monkeypatch.setattr(toxicity, "TABLE_BYTES", 0)
+    monkeypatch.setattr(toxicity, "CHUNK_BYTES", 5_000)
+    monkeypatch.setattr(toxicity, "Model", None)
+    joined = scores()
+    assert len(joined) == len(rows + odd)
+    for a, b in zip(collected, joined, strict=True):
+        assert a[0] == b[0] and a[2] == b[2] and b[1] == pytest.approx(a[1], abs=1e-5)
+
+
 def test_features():
     assert toxicity.features(np.zeros(0)) == (0.0, 0.0, 0.0)
     assert toxicity.features(np.array([1.0, 5.0])) == (3.0, 3.0, 2.0)
