@@ -11,6 +11,7 @@ from rootstone.errors import BackendError, ConflictError, CorruptedError, Invali
 from rootstone.functions.commitments import OWN
 from rootstone.functions.local import LOCAL
 from rootstone.functions.merkle import Proof, verify
+from rootstone.operators import store
 from rootstone.operators.store import KV, Op, Store, delete, put
 from rootstone.plans.session import Database
 from rootstone.streaming.feeds import change_stream, changes_between, sink
@@ -246,6 +247,23 @@ def test_export_and_restore(spark, tmp_path):
     assert [bytes(r.key) for r in s.scan(b"k05", b"k08").collect()] == [b"k05", b"k06", b"k07"] and s.scan_prefix(b"k1").count() == 10
 
 
+@pytest.mark.parametrize("history", [False, True])
+def test_all_pages_at_once_are_those_from_cursor_to_cursor(spark, tmp_path, monkeypatch, spread, history):
+    monkeypatch.setattr(store, "RANGE_ROWS", 5)
+    s = create(spark, tmp_path, history=history)
+    s.put_batch([put(b"k%02d" % i, b"v%d" % i) for i in range(40)])
+    s.put_batch([delete(b"k00"), put(b"k01", b"new")])
+    for version in (1, 2):
+        pages, after, done = [], b"", False
+        while not done:
+            page, done = s.snapshot_leaves(after, 7, version)
+            rows = [(len(set(n for n, *_ in pages)), bytes(r.path), bytes(r.value)) for r in page.collect()]
+            pages += rows
+            after = rows[-1][1]
+        assert sorted((r.page, bytes(r.path), bytes(r.value)) for r in s.snapshot_pages(7, version).collect()) == pages
+    assert create(spark, tmp_path, "none").snapshot_pages(7).count() == 0
+
+
 def test_fork(spark, tmp_path):
     s = create(spark, tmp_path)
     s.put_batch([put(b"balance", b"100")])
