@@ -80,6 +80,43 @@ def test_batches(spark, tmp_path):
         s.root_at(99)
 
 
+BATCHES = [
+    [put(b"k%02d" % i, b"v%d" % i) for i in range(30)],
+    [put(b"k01", b"new"), put(b"k02", b"v2"), delete(b"k03"), delete(b"absent")],
+    [put(b"k01", b"new"), delete(b"k03")],  # changes nothing, so it makes no version
+    [put(b"k03", b"v3"), delete(b"k01"), put(b"x", b"")],
+    [put(b"k01", b"new"), delete(b"x"), delete(b"k29")],
+]
+
+
+@pytest.mark.parametrize("more", [{"history": True}, {"history": True, "depth": 5}, {"storage_key": SEAL, "depth": 0}])
+def test_batches_at_once_are_those_one_by_one(spark, tmp_path, monkeypatch, spread, more):
+    monkeypatch.setattr(store, "RUNS", 3)
+    one, all_at_once = create(spark, tmp_path, **more), create(spark, tmp_path, "t", **more)
+    for s in (one, all_at_once):
+        s.put_batch([put(b"k00", b"before"), put(b"only", b"here")])
+    rows = [(n, o.key, o.value, 0, "put" if o.value is not None else "delete") for n, batch in enumerate(BATCHES) for o in batch]
+    for batch in BATCHES:
+        one.put_batch(batch)
+    jobs = []
+    monkeypatch.setattr(Store, "put_batch", lambda self, ops: jobs.append(1))
+    ops = spark.createDataFrame([(0, b"k07", b"earlier", -1, "put"), *rows], "batch int, key binary, value binary, seq int, op string")
+    assert all_at_once.put_batches(ops) == (one.root, one.version) and one.version == 5 and not jobs
+    assert all_at_once.put_batches(ops.where("batch = 4")) == (one.root, 5)
+    t = Store.open_latest(spark, all_at_once.path, KEY, more.get("storage_key"))
+    for v in range(6):
+        a, b = one._at(v), t._at(v)
+        assert (a.root, a.head, a.before, a.system) == (b.root, b.head, b.before, b.system)
+        assert not (b.buckets() & ~a.buckets()).any()  # one by one, those of changes without effect are marked, too
+        assert contents(one, v) == contents(t, v)
+        assert sum(f.rows for f in a.files.get("0", [])) == sum(f.rows for f in b.files.get("0", []))
+    assert t.log.runs_there() == one.log.runs_there()
+    if t.history:
+        t.verify_history()
+    with pytest.raises(LedgerError):
+        t.put_batches(spark.createDataFrame([(0, OWN.history_key, b"v", 0, "put")], ops.schema))
+
+
 def test_root_is_content(spark, tmp_path):
     pairs = [(b"k%d" % i, b"v%d" % i) for i in range(30)]
     a, b = create(spark, tmp_path, "a"), create(spark, tmp_path, "b", depth=6)
