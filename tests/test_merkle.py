@@ -2,15 +2,18 @@
 
 import random
 import re
+import struct
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import types as T
 
 from rootstone.errors import InvalidError
-from rootstone.functions.commitments import OWN, Hasher, Scheme, _escaped, _ordered_floats, _ordered_ints, prefix_end
-from rootstone.functions.merkle import Folded, Leaves, Proof, Top, bucket_at, prove, verify
+from rootstone.functions.commitments import OWN, Hasher, Scheme, _escaped, _ordered_floats, _ordered_ints, listed, prefix_end, row_bytes, row_values
+from rootstone.functions.merkle import Folded, Leaves, Proof, Top, bucket_at, fold_sorted, prove, verify
 
 KEY = bytes(range(32))
 
@@ -134,3 +137,32 @@ def test_orders_and_chain():
     assert sorted(keys) == sorted(keys, key=_escaped)
     assert OWN.chain_link(bytes(32), bytes(32), 1) != OWN.chain_link(bytes(32), bytes(32), 2)
     assert [prefix_end(p) for p in (b"ab", b"a\xff", b"\xff\xff", b"")] == [b"ac", b"b", b"", b""]
+
+
+def test_one_pass_folds_as_the_definition_says():
+    def defined(leaves, depth):
+        if len(leaves) < 2:
+            return OWN.leaf_hash(*leaves[0]) if leaves else OWN.placeholder
+        side = [[x for x in leaves if x[0][depth >> 3] >> (7 - (depth & 7)) & 1 == bit] for bit in (0, 1)]
+        return OWN.inner_hash(defined(side[0], depth + 1), defined(side[1], depth + 1))
+
+    rng = random.Random(1)
+    start = rng.randbytes(4)
+    for n in (0, 1, 2, 3, 50):
+        # paths that share 32 bits, as the paths of one bucket do, and some that share 100 or 255
+        leaves = {start + rng.randbytes(28): rng.randbytes(32) for _ in range(n)}
+        for path in list(leaves)[: n // 3]:
+            leaves[path[:12] + rng.randbytes(20)] = leaves[path[:31] + bytes([path[31] ^ 1])] = b"v" * 32
+        for depth in (0, 5, 32):
+            assert fold_sorted(sorted(leaves.items()), depth).hash == defined(sorted(leaves.items()), depth)
+
+
+def test_rows_keep_their_bytes():
+    kinds = [T.LongType(), T.StringType(), T.BinaryType(), T.DoubleType()]
+    texts = ["", None, "é" * 130, "x" * 255, "y" * 256, "z" * 70_000]
+    columns = [pa.array([1, None, -3, 4, 5, 6]), pa.array(texts), pa.array([b"\0", None, b"", b"a", b"b", b"c" * 300]), pa.array([None, -0.5, 1.5, 2.5, 3.5, 4.5])]
+    rows = row_bytes(columns, kinds)
+    assert row_values(rows, kinds) == [c.to_pylist() for c in columns]
+    assert rows[3] == b"\1" + (4 + (1 << 63)).to_bytes(8, "big") + b"\1\xff\1" + b"x" * 255 + b"\1\1a" + b"\1" + struct.pack(">Q", struct.unpack(">Q", struct.pack(">d", 2.5))[0] ^ 1 << 63)
+    assert row_bytes([c.slice(2, 3) for c in columns], kinds) == rows[2:5]
+    assert [listed(c) for c in columns] == [c.to_pylist() for c in columns]

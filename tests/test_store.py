@@ -117,6 +117,15 @@ def test_batches_at_once_are_those_one_by_one(spark, tmp_path, monkeypatch, spre
         t.put_batches(spark.createDataFrame([(0, OWN.history_key, b"v", 0, "put")], ops.schema))
 
 
+def test_files_do_not_grow_with_the_table(spark, tmp_path, monkeypatch, spread):
+    monkeypatch.setattr(store, "SLOT_MOST", 2000)
+    s = create(spark, tmp_path)
+    s.put_batch(spark.range(2000).selectExpr("cast(cast(id as string) as binary) as key", "cast(repeat('x', 50) as binary) as value", "0 as seq", "'put' as op"))
+    files = s.manifest.files["0"]
+    assert sum(f.rows for f in files) == 2000 and max(f.rows for f in files) < 500
+    assert store.FILE_ROWS <= 1 << 17 and s.spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(store.BATCH_BYTES)
+
+
 def test_root_is_content(spark, tmp_path):
     pairs = [(b"k%d" % i, b"v%d" % i) for i in range(30)]
     a, b = create(spark, tmp_path, "a"), create(spark, tmp_path, "b", depth=6)
