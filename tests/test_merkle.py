@@ -5,6 +5,7 @@ import re
 import struct
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from rootstone.errors import InvalidError
 from rootstone.functions.commitments import OWN, Hasher, Scheme, _escaped, _ordered_floats, _ordered_ints, listed, prefix_end, row_bytes, row_values
-from rootstone.functions.merkle import Folded, Leaves, Proof, Top, bucket_at, fold_sorted, prove, verify
+from rootstone.functions.merkle import OLD, PUT, ROWS, Folded, Leaves, Proof, Top, bucket_at, fold_alone, fold_buckets, fold_sorted, prove, verify
 
 KEY = bytes(range(32))
 
@@ -166,3 +167,30 @@ def test_rows_keep_their_bytes():
     assert rows[3] == b"\1" + (4 + (1 << 63)).to_bytes(8, "big") + b"\1\xff\1" + b"x" * 255 + b"\1\1a" + b"\1" + struct.pack(">Q", struct.unpack(">Q", struct.pack(">d", 2.5))[0] ^ 1 << 63)
     assert row_bytes([c.slice(2, 3) for c in columns], kinds) == rows[2:5]
     assert [listed(c) for c in columns] == [c.to_pylist() for c in columns]
+
+
+def test_buckets_of_one_file_are_folded_where_they_are_read():
+    rng, names = random.Random(3), [c.split()[0] for c in ROWS.split(", ")]
+    leaves = sorted((rng.randbytes(32), rng.randbytes(32)) for _ in range(400))
+    rows = [(bucket_at(p, 3), p, v, PUT if i % 5 == 0 else OLD) for i, (p, v) in enumerate(leaves)]
+    rows += [(7, p, v, PUT) for b, p, v, k in rows if b == 7 and k == OLD][:2]  # taken, and without effect
+    more = [(rng.randbytes(32), rng.randbytes(32)) for _ in range(9)]
+
+    def batches(rows, size=37):
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32())
+        return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size], strict=True), kinds, strict=True)], names) for i in range(0, len(rows), size)]
+
+    def folded(rows):
+        return pa.Table.from_batches(fold_buckets(3, more[:5], more[3:], OWN)(iter(batches(rows)))).to_pylist()
+
+    def kept(rows, alone):
+        return [tuple(r.values()) for b in fold_alone(3, more[:5], more[3:], OWN, np.array(alone))(iter(batches(rows))) for r in b.to_pylist()]
+
+    whole = folded(rows)
+    assert sum(r["taken"] for r in whole) == sum(r["idle"] for r in whole) == 2
+    for alone in ([True] * 8, [b % 3 != 0 for b in range(8)], [False] * 8):
+        once = kept(rows, alone)
+        assert len(once) == sum(alone) + sum(not alone[r[0]] for r in rows)
+        assert folded(sorted(once, key=lambda r: r[0])) == whole
+    with pytest.raises(InvalidError):  # a bucket that is not in one file after all
+        folded(sorted(kept(rows[:-9], [True] * 8) + kept(rows[-9:], [True] * 8), key=lambda r: r[0]))
