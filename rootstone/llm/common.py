@@ -165,6 +165,18 @@ class Sets:
         if len(roots) > 1:
             self.root[np.isin(self.root, roots)] = roots[0]
 
+    def merge(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Joins each of i with its j."""
+        while True:
+            a, b = self.root[i], self.root[j]
+            apart = a != b
+            if not apart.any():
+                return
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(self.root, further := self.root[self.root]):
+                self.root = further
+
     def spanning(self) -> tuple[np.ndarray, np.ndarray]:
         places = np.flatnonzero(self.root != np.arange(len(self.root)))
         return places, self.root[places]

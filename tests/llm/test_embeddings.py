@@ -3,6 +3,7 @@
 import numpy as np
 
 from rootstone.llm import embeddings
+from rootstone.llm.common import Sets
 from test_minhash import roots
 
 SCHEMA = "vec_id long, embedding array<double>, x string, id string, n string"
@@ -98,3 +99,44 @@ def test_probes_and_codes_lose_nothing(monkeypatch):
             d = np.sqrt(index.distances(unit, k, codes[members]))
             exact = np.sqrt(((unit[:, None] - unit[None, members]) ** 2).sum(axis=2))
             assert (np.abs(d - exact) <= errors[members][None] + 1e-6).all()
+
+
+def test_only_codes_and_candidates_are_dealt_out(frame, monkeypatch):
+    """Vectors without clusters, and a few groups of near copies: no link is lost, and only vectors with a candidate meet as vectors."""
+    dealt, real = [], embeddings._dealt
+    monkeypatch.setattr(embeddings, "_dealt", lambda rows, *more: dealt.append(rows) or real(rows, *more))
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(1200, 64))
+    for at, size, spread in ((0, 300, 0.2), (600, 40, 0.3), (700, 9, 0.2), (710, 2, 0.1)):
+        x[at : at + size] = x[at] + spread * draw.normal(size=(size, 64))
+    check(frame, list(enumerate(x[draw.permutation(len(x))].tolist())), block=250)
+    assert sum(rows.count() for rows in dealt if "x" in rows.columns) <= 300 + 40 + 9 + 2
+
+
+def test_codes_of_leading_dimensions_lose_nothing():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(1500, 64))
+    x[500:] = x[:500].repeat(2, axis=0) + draw.normal(size=(1000, 64)) * draw.uniform(0.1, 0.5, 1000)[:, None]
+    index, reach = embeddings.Index(x, 1500), 0.3162278
+    unit = index.unit(x)
+    own = index.own(unit)
+    codes, errors = index.code(unit, own)
+    back, exact = index.decoded(own, codes), np.sqrt(((unit[:, None] - unit[None]) ** 2).sum(axis=2))
+    assert 8 <= index.head(unit, reach) < 64 and (exact <= reach).sum() > 2000
+    for head in (2, 8, 24, 64):
+        left, right = embeddings._sides(back[:, :head], index.errors(unit, own, codes, head), reach)
+        remain = left @ right.T >= 0
+        assert remain[exact <= reach].all()
+        if head >= 24:
+            assert remain[exact > 1].mean() < 0.001
+
+
+def test_sets_merge_like_joins():
+    draw = np.random.default_rng(5)
+    for edges in (1, 40, 90, 400):
+        i, j = draw.integers(0, 100, edges), draw.integers(0, 100, edges)
+        one, other = Sets(100), Sets(100)
+        one.merge(i, j)
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            other.join(a, np.array([b]))
+        assert one.root.tolist() == other.root.tolist()
